@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import sharding, url_filter
+from marlstone.llm import sharding, simhash, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,9 +53,16 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """64-bit fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, lanes=1, radius=4)
+    return out.select("doc_id", F.lower(F.hex("_print")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
+    "op9_simhash_tiles": op9_simhash_tiles,
 }
 
 ORACLE_SQL = {"op4_url_cascade": OP4_SQL}
