@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import sharding, simhash, url_filter
+from marlstone.llm import sharding, simhash, substring_dedup, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,17 @@ def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.hex("_print")).alias("fingerprint"), "component_id")
 
 
+def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of windows of 50 that start in an earlier document too are removed."""
+    out = substring_dedup.without_repeats(table(spark, sf_dir, "documents"), window=50, keep=["doc_id"])
+    return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
+
+
 QUERIES = {
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
     "op9_simhash_tiles": op9_simhash_tiles,
+    "op10_recompression": op10_recompression,
 }
 
 ORACLE_SQL = {"op4_url_cascade": OP4_SQL}

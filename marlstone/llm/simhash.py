@@ -55,7 +55,7 @@ def fingerprint(text: bytes, size: int, lanes: int) -> np.ndarray:
     if not len(hashes):
         return out
     for lane in range(lanes):
-        h = hashes if lane == 0 else mix(hashes + M1 * np.uint64(lane))
+        h = hashes if lane == 0 else mix(hashes + np.uint64(int(M1) * lane % (1 << 64)))
         counts = np.zeros(64, dtype=np.int64)
         for i in range(0, len(h), 16384):
             bits = np.unpackbits(h[i : i + 16384].astype(">u8").view(np.uint8)).reshape(-1, 64)
