@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import sharding, simhash, substring_dedup, url_filter
+from marlstone.llm import sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learnt from labelled rows outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit_toxicity(documents, table(spark, sf_dir, "labels"))
+    out = toxicity.score(documents, model, keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("_score").alias("score"),
+        (F.col("_score") >= 0.5).cast("int").alias("predicted"),
+        F.col("_spans").alias("spans"),
+    )
+
+
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 8)
@@ -66,6 +80,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_crf_toxicity": op1_crf_toxicity,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
     "op9_simhash_tiles": op9_simhash_tiles,

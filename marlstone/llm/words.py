@@ -18,6 +18,9 @@ import xxhash
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: As above, with ASCII punctuation: for tokens without marks around them.
+SPACE_OR_MARK = SPACE.copy()
+SPACE_OR_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 #: Masks that keep the first 0 to 8 bytes of a little-endian lane.
 KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
@@ -67,12 +70,12 @@ def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
     return data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes(), at - at[0]
 
 
-def find_words(texts: pa.Array, lower: bool = False) -> Words:
+def find_words(texts: pa.Array, lower: bool = False, gaps: np.ndarray = SPACE) -> Words:
     data, offsets = text_bytes(texts)
     if lower:
         data = data.lower()  # of bytes: A-Z only
     codes = np.frombuffer(data, dtype=np.uint8)
-    inside = ~SPACE[codes]
+    inside = ~gaps[codes]
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
@@ -108,6 +111,12 @@ def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_hashes(words: Words, size: int) -> np.ndarray:
+    """A hash of the first ``size`` bytes (8 at most) of each word; shorter words hash as they are."""
+    lanes = np.ndarray((len(words.data) + 1,), dtype="<u8", buffer=words.data + bytes(9), strides=(1,))
+    return mix((lanes[words.start] & KEEP[np.minimum(words.end - words.start, size)]) + U64(size))
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batch of whole rows with about ``limit`` bytes of text each, to bound memory."""
     column_index = batch.schema.get_field_index(column)
