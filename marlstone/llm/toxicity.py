@@ -99,7 +99,7 @@ def toxic_tokens(words: Words, toxic: np.ndarray, counted: np.ndarray) -> np.nda
     text = np.repeat(np.arange(len(toxic)), np.diff(words.first))
     odds_of = lambda p, n: np.log((p + 0.5) / (toxic[counted].sum() + 1)) - np.log((n + 0.5) / ((~toxic[counted]).sum() + 1))
     out = np.zeros(len(text), dtype=np.int64)
-    floor = max(3, 0.004 * toxic[counted].sum())
+    floor = max(4, 0.01 * toxic[counted].sum())
     for kind in [words.hashes()] + [prefix_hashes(words, n) for n in PREFIXES[1:]]:
         use = counted[text]
         _, number = np.unique(kind, return_inverse=True)
