@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import sharding, simhash, substring_dedup, toxicity, url_filter
+from marlstone.llm import decontamination, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op1_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that overlap in at least 13 words (or the whole item), 80 % of them equal."""
+    out = decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return out.select("doc_id", F.explode("_leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 8 shards of near equal bytes; equal texts share a shard."""
     out = sharding.shard(table(spark, sf_dir, "documents"), 8)
@@ -81,6 +87,7 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_crf_toxicity": op1_crf_toxicity,
+    "op2_spaced_seeds": op2_spaced_seeds,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
     "op9_simhash_tiles": op9_simhash_tiles,
