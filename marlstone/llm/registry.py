@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontamination, sharding, simhash, substring_dedup, toxicity, url_filter
+from marlstone.llm import decontamination, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,30 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in windows of 2048 ids; digests of the id and position rows, and what lies where."""
+    out = packing.pack_best_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return out.select(
+        "sequence_id", "n_tokens", "cu_seqlens", "doc_ids", "doc_starts", F.crc32("ids").alias("ids_crc32"), F.crc32("position_ids").alias("position_ids_crc32")
+    )
+
+
+def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in full windows of 2048, 1024, 512 or 256 ids; one row per piece."""
+    out = packing.pack_tiers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        F.col("_start").alias("start"),
+        F.col("_length").alias("length"),
+        F.crc32("_ids").alias("ids_crc32"),
+        F.col("_doc_tokens").alias("doc_tokens"),
+        F.col("_sequence_id").alias("sequence_id"),
+        F.col("_offset").alias("offset"),
+        F.col("_tier").alias("tier"),
+        F.col("_step").alias("step_group"),
+    )
+
+
 def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, lanes=1, radius=4)
@@ -90,6 +115,8 @@ QUERIES = {
     "op2_spaced_seeds": op2_spaced_seeds,
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op8_tiered_packing": op8_tiered_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_recompression": op10_recompression,
 }
