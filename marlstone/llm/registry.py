@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import decontamination, packing, sharding, simhash, substring_dedup, toxicity, url_filter
+from marlstone.llm import ann, decontamination, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 greatest inner products of every vector whose id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in full windows of 2048, 1024, 512 or 256 ids; one row per piece."""
     out = packing.pack_tiers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
@@ -116,6 +121,7 @@ QUERIES = {
     "op3_minimax_sharding": op3_minimax_sharding,
     "op4_url_cascade": op4_url_cascade,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_one_bit_codes": op6_one_bit_codes,
     "op8_tiered_packing": op8_tiered_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_recompression": op10_recompression,
