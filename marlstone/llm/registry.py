@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm import ann, decontamination, packing, sharding, simhash, substring_dedup, toxicity, url_filter
+from marlstone.llm import ann, decontamination, language_model, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,23 @@ def op6_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of every document under a model of those outside the held-out fold."""
+    documents = table(spark, sf_dir, "documents")
+    held_out = language_model.in_fold(F.col("doc_id"), 7, 2)
+    model = language_model.train(documents.where(~held_out))
+    out = language_model.score(documents, model, keep=["doc_id"])
+    return out.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        F.col("_n_tokens").alias("n_tokens"),
+        F.col("_n_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("_base_score").alias("base_score"),
+        F.col("_score").alias("score"),
+    )
+
+
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in full windows of 2048, 1024, 512 or 256 ids; one row per piece."""
     out = packing.pack_tiers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
@@ -122,6 +139,7 @@ QUERIES = {
     "op4_url_cascade": op4_url_cascade,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_one_bit_codes": op6_one_bit_codes,
+    "op7_kneser_ney": op7_kneser_ney,
     "op8_tiered_packing": op8_tiered_packing,
     "op9_simhash_tiles": op9_simhash_tiles,
     "op10_recompression": op10_recompression,
