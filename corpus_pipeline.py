@@ -19,8 +19,7 @@ from marlstone.llm.shared import settle
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; ties are toxic."""
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score(docs, model, spans=False)
-    return scored.where(F.col("_score") < 0.5).drop("_score")
+    return toxicity.without_toxic(docs, model, threshold=0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import renamed, restored
 from marlstone.llm.words import M1, SPACE_OR_MARK, U64, Words, find_words, mix, pieces
 
 #: Positions that each mask looks at.
@@ -187,6 +188,7 @@ def searcher(shared, text: str, keep: list[str], overlap: int, similarity: float
     return run
 
 
-def decontaminate(df: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+def decontaminate(df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """Rows of ``df`` in which no benchmark passage was found."""
-    return find_leaks(df, benchmark, **options).where(F.size("_leaks") == 0).drop("_leaks")
+    plain, names = renamed(df)
+    return restored(find_leaks(plain, benchmark, text_col=names[text_col], **options).where(F.size("_leaks") == 0), names)

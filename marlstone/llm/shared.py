@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _fallback: str | None = None
 
@@ -39,6 +40,16 @@ def settle(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with neutral column names, which clash with none that an operator uses, and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def restored(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(new).alias(old) for old, new in names.items()])
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this application settled. Results that still read them become invalid."""
     jvm = spark.sparkContext._jvm

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import settle
+from marlstone.llm.shared import renamed, restored, settle
 from marlstone.llm.words import M1, mix, pieces, text_bytes
 
 SEED = 42
@@ -143,8 +143,11 @@ def tiles_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return order, np.minimum.reduceat(parts, edges), np.maximum.reduceat(parts, edges), edges
 
 
-def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.ndarray:
-    """Labels over the rows of ``left`` and then ``right`` (None: within ``left``)."""
+def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int, screen: int) -> np.ndarray:
+    """Labels over the rows of ``left`` and then ``right`` (None: within ``left``).
+
+    Rows are linked if all their bits differ in ``radius`` at most and the first 128 in ``screen`` at most.
+    """
     a_order, a_low, a_high, a_at = tiles_of(left)
     a = left[a_order]
     if right is None:
@@ -164,7 +167,7 @@ def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.n
             far = np.bitwise_count(rows[:, None, 0] ^ cols[None, :, 0])
             if rows.shape[1] > 1:
                 far += np.bitwise_count(rows[:, None, 1] ^ cols[None, :, 1])
-            x, y = np.nonzero(far <= radius)
+            x, y = np.nonzero(far <= min(radius, screen))
             for lane in range(2, rows.shape[1]):  # few pairs are left to look at
                 if lane == 2:
                     total = far[x, y].astype(np.int32)
@@ -175,7 +178,7 @@ def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int) -> np.n
     return forest.parent
 
 
-def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
+def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
     """``prints``: distinct ``_print``, ``_ones``. A forest with the components of all pairs within the radius."""
     spark = prints.sparkSession
     counts = {r["_ones"]: r["n"] for r in prints.groupBy("_ones").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -220,7 +223,7 @@ def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
                     held[number] = blob
                     continue
                 arrays = [np.frombuffer(s, dtype=">u8").reshape(-1, lanes).astype(np.uint64) for s in sides]
-                parent = linked_rows(arrays[0], arrays[1] if len(arrays) > 1 else None, radius)
+                parent = linked_rows(arrays[0], arrays[1] if len(arrays) > 1 else None, radius, screen)
                 child = np.flatnonzero(parent != np.arange(len(parent)))
                 if len(child):
                     both = b"".join(sides)
@@ -232,13 +235,13 @@ def links(prints: DataFrame, lanes: int, radius: int) -> DataFrame:
 
 
 def near_duplicates(
-    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4, keep: list[str] | None = None
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4, screen: int = 128, keep: list[str] | None = None
 ) -> DataFrame:
     """``id_col`` (and ``keep``) of every row with ``_print`` and ``component_id``, the smallest id its fingerprint reaches."""
     keep = list(dict.fromkeys([id_col, *(keep or [])]))
     rows = settle(fingerprints(df, id_col, text_col, shingle, lanes, keep), "prints")
     distinct = settle(rows.groupBy("_print", "_ones").agg(F.min(F.col(f"`{id_col}`")).alias("_least")), "distinct-prints")
-    roots = components(links(distinct.select("_print", "_ones"), lanes, radius))
+    roots = components(links(distinct.select("_print", "_ones"), lanes, radius, screen))
     linked = settle(distinct.join(roots, distinct["_print"] == roots["node"]).select("_print", "_least", "root"), "linked-prints")
     smallest = linked.groupBy("root").agg(F.min("_least").alias("_of_root"))
     known = linked.join(smallest, "root").select(F.col("_print").alias("_linked"), "_of_root", "root")
@@ -251,18 +254,20 @@ def near_duplicates(
     return rows.join(named, rows["_print"] == named["_named"]).drop("_named", "_ones")
 
 
-def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 4, radius: int = 44) -> DataFrame:
-    """Rows of ``df`` without near copies: of each component the row with the smallest id stays.
+def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, radius: int = 92, screen: int = 48) -> DataFrame:
+    """Rows of ``df`` without near copies: of each component the row with the smallest id stays, of repeated rows one.
 
-    With 256 bits, texts whose shingle sets have a Jaccard similarity of 0.8 differ in
-    39 bits on average with a standard deviation of 6; unrelated texts differ in 128.
-    The radius of 44 is that mean and nearly one deviation more.
+    With 512 bits, texts whose shingles have a Jaccard similarity of 0.8 differ in 78
+    bits on average with a standard deviation of 8, and in 19 of the first 128 with
+    one of 4; unrelated texts differ in 256 and 64. The radius leaves room for nearly
+    two deviations, the screen for seven.
     """
-    columns = df.columns
-    marked = df.withColumn("_text_hash", F.xxhash64(F.col(f"`{text_col}`")))
-    groups = near_duplicates(marked, id_col=id_col, text_col=text_col, shingle=shingle, lanes=lanes, radius=radius, keep=["_text_hash"])
-    chosen = groups.where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(F.struct(F.col(f"`{id_col}`").alias("i"), F.col("_text_hash").alias("h"))).alias("best"))
+    plain, names = renamed(df)
+    ident, text = names[id_col], names[text_col]
+    marked = plain.withColumn("_text_hash", F.xxhash64(text))
+    groups = near_duplicates(marked, id_col=ident, text_col=text, shingle=shingle, lanes=lanes, radius=radius, screen=screen, keep=["_text_hash"])
+    chosen = groups.where(F.col(ident).eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(F.struct(F.col(ident).alias("i"), F.col("_text_hash").alias("h"))).alias("best"))
     chosen = settle(chosen.select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
-    here = marked.join(chosen, marked[f"`{id_col}`"].eqNullSafe(chosen["_i"]) & (marked["_text_hash"] == chosen["_h"]), "left_semi")
-    once = here.withColumn("_turn", F.expr(f"row_number() over (partition by `{id_col}`, _text_hash order by _text_hash)"))
-    return once.where("_turn = 1").select(*[F.col(f"`{c}`") for c in columns])
+    here = marked.join(chosen, marked[ident].eqNullSafe(chosen["_i"]) & (marked["_text_hash"] == chosen["_h"]), "left_semi")
+    once = here.withColumn("_turn", F.expr(f"row_number() over (partition by {ident}, _text_hash order by _text_hash)"))
+    return restored(once.where("_turn = 1"), names)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import settle
+from marlstone.llm.shared import renamed, restored, settle
 from marlstone.llm.words import M1, U64, Words, find_words, mix, pair, pieces, sliding_min
 
 #: The low bits of a value to minimise hold its position, so ties go to the leftmost.
@@ -288,5 +288,6 @@ def cut_out(data: bytes, low: int, high: int, start: np.ndarray, end: np.ndarray
 
 def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """``df`` with the repeated words cut out of its texts; all rows and other columns stay."""
-    done = without_repeats(df, id_col=id_col, text_col=text_col, window=window)
-    return done.withColumn(text_col, F.col("_new_text")).select(*[F.col(f"`{c}`") for c in df.columns])
+    plain, names = renamed(df)
+    done = without_repeats(plain, id_col=names[id_col], text_col=names[text_col], window=window)
+    return restored(done.withColumn(names[text_col], F.col("_new_text")), names)
