@@ -110,12 +110,12 @@ def fit(features: np.ndarray, labels: np.ndarray, first: np.ndarray, buckets: in
         part = parts[number % len(parts)]
         at = np.concatenate([np.arange(begins[i], ends[i]) for i in part])
         x, y, f = features[:, at], labels[at], first[at]
-        hot, joint, begin = pair_sums(weights[x].sum(axis=0), f, chain)
+        hot, joint, begin = pair_sums(sum(weights[kind] for kind in x), f, chain)
         go = np.flatnonzero(~f)
         real = np.zeros((2, 2))
         np.add.at(real, (y[go - 1], y[go]), 1)
         real_begin = np.bincount(y[f], minlength=2)
-        slope = np.bincount(x.ravel(), weights=np.tile(y - hot, len(x)), minlength=buckets) / len(part) - decay * weights
+        slope = sum(np.bincount(kind, weights=y - hot, minlength=buckets) for kind in x) / len(part) - decay * weights
         seen_w += slope**2
         weights += rate * slope / np.sqrt(seen_w)
         slope = (real - joint) / len(part)

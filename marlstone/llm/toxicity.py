@@ -6,13 +6,14 @@ others; these labelled tokens train the field. Forward-backward marginals give
 each token's probability, spans are runs of likely tokens, and a logistic model
 of the marginals of a document gives its score.
 
-Training reads at most ``sample_rows`` labelled rows (those of least hash of the
-id) with texts of at most ``sample_bytes``; both bounds are parameters. Scoring
-covers every row and every token.
+Training reads at most ``sample_rows`` labelled rows of either class (those of
+least hash of the id) with texts of at most ``sample_bytes``; both bounds are
+parameters. The logistic model weighs the classes by their numbers among all
+labelled rows. Scoring covers every row and every token.
 
 Edge cases: null and empty texts get the score of a document without tokens.
 Without labelled rows of both classes no token is toxic and the score is the
-share of toxic rows in the sample (0 if none). Labels that are null are ignored;
+share of toxic rows (0 if none). Labels that are null are ignored;
 an id that is labelled more than once is toxic if one of its labels is. Rows are
 kept one for one.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import crf
+from marlstone.llm.shared import renamed, restored
 from marlstone.llm.words import SPACE_OR_MARK, U64, Words, find_words, mix, pair, pieces, prefix_hashes
 
-SAMPLE_ROWS = 8000
+SAMPLE_ROWS = 2000
 SAMPLE_BYTES = 1 << 16
 BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
@@ -54,8 +57,17 @@ def token_features(words: Words) -> np.ndarray:
         around[0, 1:], around[1, :-1] = names[:-1], names[1:]
         inner = words.first[(words.first > 0) & (words.first < len(names))]
         around[0, inner], around[1, inner - 1] = 0, 0
-    kinds = [mix(names)] + [prefix_hashes(words, n) for n in PREFIXES] + [mix(around[i] + U64(11 + i)) for i in range(2)]
-    return np.stack([(k >> U64(20)) % U64(BUCKETS) for k in kinds]).astype(np.int32)
+    out = np.empty((len(PREFIXES) + 3, len(names)), dtype=np.int32)
+    for i, kind in enumerate(chain([mix(names)], (prefix_hashes(words, n) for n in PREFIXES), (mix(around[i] + U64(11 + i)) for i in range(2)))):
+        out[i] = (kind >> U64(20)) % U64(BUCKETS)
+    return out
+
+
+def token_marginals(words: Words, weights: np.ndarray, links: crf.Chain) -> np.ndarray:
+    scores = np.zeros(len(words.start), dtype=np.float32)
+    for kind in token_features(words):
+        scores += weights[kind]
+    return crf.marginals(scores.astype(np.float64), first_tokens(words), links)
 
 
 def first_tokens(words: Words) -> np.ndarray:
@@ -113,39 +125,43 @@ def toxic_tokens(words: Words, toxic: np.ndarray, counted: np.ndarray) -> np.nda
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 25) -> np.ndarray:
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 0.3 * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - 0.3 * w)
+        hessian = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + 0.3 * np.eye(len(w))
+        w += np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 0.3 * w)
     return w
 
 
-def train(texts: list[str], toxic: np.ndarray, seed: int = 5) -> Model:
-    rate = float(toxic.mean()) if len(toxic) else 0.0
+def train(texts: pa.Array, toxic: np.ndarray, rate: float, seed: int = 5) -> Model:
+    """``rate``: the share of toxic rows among all labelled ones."""
     blank = Model(np.zeros(BUCKETS, dtype=np.float32), crf.Chain(np.zeros(2), np.zeros((2, 2))), np.zeros(5), rate)
-    if not 0 < rate < 1:
+    if not 0 < toxic.sum() < len(toxic):
         return blank
-    words = find_words(pa.array(texts, pa.large_string()), lower=True, gaps=SPACE_OR_MARK)
+    words = find_words(texts, lower=True, gaps=SPACE_OR_MARK)
     if not len(words.start):
         return blank
     labels = toxic_tokens(words, toxic, unlike(words))
-    features, first = token_features(words), first_tokens(words)
+    first = first_tokens(words)
     place = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     begins = np.flatnonzero(place % SEGMENT == 0)
     hits = np.add.reduceat(labels, begins)
     rng = np.random.default_rng(seed)
     marked, rest = np.flatnonzero(hits > 0), np.flatnonzero(hits == 0)
-    chosen = np.sort(np.concatenate([marked, rng.permutation(rest)[: max(2000, 3 * len(marked))]]))
+    chosen = np.sort(np.concatenate([marked, rng.permutation(rest)[: max(2000, len(marked))]]))
     ends = np.append(begins[1:], len(first))
     at = np.concatenate([np.arange(begins[i], ends[i]) for i in chosen])
     starts = np.zeros(len(first), dtype=bool)
     starts[begins[chosen]] = True
-    weights, chain = crf.fit(features[:, at], labels[at], starts[at], BUCKETS)
-    hot = crf.marginals(weights[features].sum(axis=0), first, chain)
-    document = fit_logistic(document_features(hot, words), toxic.astype(float))
-    return Model(weights.astype(np.float32), chain, document, rate)
+    weights, links = crf.fit(token_features(words)[:, at], labels[at], starts[at], BUCKETS)
+    weights = weights.astype(np.float32)
+    found = []
+    for part in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):
+        own = find_words(part.column(0), lower=True, gaps=SPACE_OR_MARK)
+        found.append(document_features(token_marginals(own, weights, links), own))
+    weight = np.where(toxic, rate / toxic.mean(), (1 - rate) / (1 - toxic.mean()))
+    return Model(weights, links, fit_logistic(np.concatenate(found), toxic.astype(float), weight), rate)
 
 
 def held_out(ident: Column, folds: int = 5, fold: int = 0) -> Column:
@@ -157,11 +173,17 @@ def fit_toxicity(
 ) -> Model:
     known = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(F.col(f"`{label_col}`")).alias("_toxic"))
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
+    known = known.where(~held_out(F.col("_id"))).select("_id", (F.col("_toxic") > 0).alias("_toxic"))
+    numbers = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     texts = df.where(~held_out(ident) & (F.octet_length(text) <= sample_bytes)).select(ident.alias("_id"), text.alias("_text"))
+    order = [F.xxhash64("_id", F.lit(3)), F.col("_id")]
     # the sampled ids are chosen first, so that no text but theirs is moved; their number is bounded
-    chosen = known.where(~held_out(F.col("_id"))).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(sample_rows)
-    rows = texts.join(F.broadcast(chosen), "_id").orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(sample_rows).select("_text", "_toxic").toArrow()
-    return train(rows.column(0).to_pylist(), np.array(rows.column(1).to_pylist(), dtype=np.int64) > 0)
+    parts = []
+    for kind in (False, True):
+        chosen = known.where(F.col("_toxic") == kind).orderBy(*order).limit(sample_rows)
+        parts.append(texts.join(F.broadcast(chosen), "_id").orderBy(*order).limit(sample_rows).select("_text").toArrow().column(0).cast(pa.large_string()).combine_chunks())
+    toxic = np.repeat([False, True], [len(p) for p in parts])
+    return train(pa.concat_arrays(parts), toxic, numbers.get(True, 0) / max(1, sum(numbers.values())))
 
 
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
@@ -172,12 +194,9 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for batch in pieces(whole, "_text"):
+            for batch in pieces(whole, "_text", 4 << 20):
                 words = find_words(batch.column(batch.schema.get_field_index("_text")), lower=True, gaps=SPACE_OR_MARK)
-                scores = np.zeros(len(words.start), dtype=np.float32)
-                for kind in token_features(words):
-                    scores += model.weights[kind]
-                hot = crf.marginals(scores.astype(np.float64), first_tokens(words), model.chain)
+                hot = token_marginals(words, model.weights, model.chain)
                 if model.document.any():
                     odds = document_features(hot, words) @ model.document
                     result = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
@@ -196,6 +215,12 @@ def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str
     return rows.mapInArrow(run, (fields + ", " if fields else "") + "_score double" + more)
 
 
+def without_toxic(df: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """Rows of ``df`` that score below the threshold."""
+    plain, names = renamed(df)
+    return restored(score(plain, model, text_col=names[text_col], spans=False).where(F.col("_score") < threshold), names)
+
+
 def likely_spans(words: Words, hot: np.ndarray) -> pa.Array:
     """Runs of tokens with a marginal of at least LIKELY, by text, in character offsets."""
     out: list[list[dict]] = [[] for _ in range(len(words.first) - 1)]
