@@ -50,6 +50,7 @@ class Shape:
     pair_rounds: int
     longest: int
     margin: int
+    run_round: bool = True
 
     @property
     def starts(self) -> int:
@@ -63,7 +64,7 @@ def shape_for(window: int) -> Shape:
     A run is named if it has exactly two words, which shows within three words; runs
     that are longer stay single words, since their ends may lie outside a window.
     """
-    best, longest, margin, rounds = Shape(window, 0, 1, 0), 2, 3, 0
+    best, longest, margin, rounds = Shape(window, 0, 1, 0, run_round=False), 2, 3, 0
     while True:
         shape = Shape(window, rounds, longest, margin)
         if shape.starts < shape.longest:
@@ -71,14 +72,16 @@ def shape_for(window: int) -> Shape:
         best, margin, longest, rounds = shape, margin + longest, 2 * longest, rounds + 1
 
 
-def symbols(names: np.ndarray, text: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def symbols(names: np.ndarray, text: np.ndarray, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
     """High-level symbols over all texts: their names and the positions of their first words."""
     at = np.arange(len(names))
+    if not shape.run_round:
+        return names, at
     same = np.zeros(len(names) + 1, dtype=bool)
     same[1:-1] = (names[1:] == names[:-1]) & (text[1:] == text[:-1])
     double = same[1:-1] & ~same[:-2] & ~same[2:] if len(names) > 1 else np.zeros(0, dtype=bool)
     names, at = join(names, at, double, 1)
-    for number in range(2, rounds + 2):
+    for number in range(2, shape.pair_rounds + 2):
         left = (mix(names + U64(int(M1) * number % (1 << 64))) & U64(1)).astype(bool)
         meets = left[:-1] & ~left[1:] & (text[at[:-1]] == text[at[1:]])
         names, at = join(names, at, meets, number)
@@ -144,7 +147,7 @@ def segments(words: Words, shape: Shape) -> Segments:
     if n < w:
         return Segments(empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
     text = text_of_words(words)
-    high, at = symbols(names, text, shape.pair_rounds)
+    high, at = symbols(names, text, shape)
     value = np.full(n, np.iinfo(np.uint64).max, dtype=np.uint64)
     value[at] = (mix(high) >> POSITION_BITS << POSITION_BITS) | at.astype(np.uint64)
     least = sliding_min(value[shape.margin : n - shape.window + shape.margin + shape.starts], shape.starts)
