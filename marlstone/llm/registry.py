@@ -132,6 +132,27 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"), F.col("_kept_sha256").alias("kept_sha256"))
 
 
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+starts AS (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 49)) AS i FROM w WHERE len(ws) >= 50),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS k FROM starts),
+least AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+cut AS (SELECT win.doc_id, unnest(generate_series(i, i + 49)) AS p FROM win JOIN least ON win.k = least.k WHERE m < win.doc_id),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM cut GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+
 QUERIES = {
     "op1_crf_toxicity": op1_crf_toxicity,
     "op2_spaced_seeds": op2_spaced_seeds,
@@ -145,4 +166,8 @@ QUERIES = {
     "op10_recompression": op10_recompression,
 }
 
-ORACLE_SQL = {"op4_url_cascade": OP4_SQL}
+ORACLE_SQL = {
+    "op4_url_cascade": OP4_SQL,
+    "op6_one_bit_codes": OP6_SQL,
+    "op10_recompression": OP10_SQL,
+}
