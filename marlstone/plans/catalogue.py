@@ -11,13 +11,14 @@ from marlstone.functions.predicates import TOLERANCE, Comparison, Predicate
 from marlstone.functions.routing import shard_of
 from marlstone.functions.statistics import exact_percentiles, padded_key, success_rate, throughput
 from marlstone.operators import select as selects
+from marlstone.operators import workload
 from marlstone.operators.aggregates import Aggregate
-from marlstone.operators.history import deltas, self_transfers
+from marlstone.operators.history import check_bank, deltas, self_transfers
 from marlstone.operators.select import Join, Select
 from marlstone.operators.transactions import Conflict, Transaction
 from marlstone.plans.session import Session
 from marlstone.sources.catalog import TableDef
-from marlstone.sources.generator import order_entry
+from marlstone.sources.generator import Scale, order_entry
 from marlstone.sources.scratch import scratch_folder
 from marlstone.sources.store import Store
 from marlstone.sources.versions import key_range, latest, overlay, point, snapshot, text_range, tombstones, versions
@@ -332,9 +333,38 @@ def session_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice < 50000.0")
 
 
+@query(
+    "session_prepared",
+    "SELECT o_orderkey, CASE WHEN o_orderkey IN (1, 2) THEN 'P' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey <> 6",
+)
+def session_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements prepared once and run with several values."""
+    store = order_store(spark, sf_dir)
+    session = Session(store)
+    session.prepare("mark", "UPDATE orders SET o_orderstatus = $2 WHERE o_orderkey = $1")
+    session.prepare("drop", "DELETE FROM orders WHERE o_orderkey = $1")
+    for name, values in (("mark", [1, "P"]), ("mark", [2, "P"]), ("drop", [6])):
+        session.bind(name, values)
+        session.execute_portal()
+    return session.query("SELECT o_orderkey, o_orderstatus FROM orders")
+
+
 # routing, workload tables and figures
 
 
+@query("workload_run", "SELECT * FROM (VALUES ('customer', 110002, -109.0::DOUBLE), ('district', 11, 30100.0::DOUBLE), ('orders_of_district', 11, 2.0::DOUBLE), ('warehouse', 1, 300200.0::DOUBLE)) t(name, key, value)")
+def workload_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five order-entry transactions, once each with amount 100, and what they changed."""
+    store, scale = Store(spark, scratch_folder(spark, "workload")), Scale(1, 2, 3, 4)
+    workload.load(store, scale)
+    for kind in workload.RUNS:
+        if not workload.run_one(store, kind, workload.Choice(1, 1, 2, 3, 100.0), scale):
+            raise AssertionError(f"{kind} did not commit")
+    row = lambda name, table, key, at, value: point(store.read(table), key, at).select(F.lit(name).alias("name"), F.lit(at).alias("key"), F.col(value).cast("double").alias("value"))
+    parts = [row("customer", "customer", "c_id", 110002, "c_balance"), row("district", "district", "d_id", 11, "d_ytd"), row("orders_of_district", "district", "d_id", 11, "d_next_o_id"), row("warehouse", "warehouse", "w_id", 1, "w_ytd")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(
     "shard_histogram",
     """SELECT shard, count(*) AS keys FROM (
@@ -369,6 +399,15 @@ query(
 SELECT CAST(user_id AS VARCHAR) AS account, -(event_id % 5 + 1) AS delta FROM events UNION ALL SELECT CAST(user_id + 1 AS VARCHAR), event_id % 5 + 1 FROM events) GROUP BY account""",
 )(lambda s, d: deltas(event_transfers(s, d)))
 query("bank_conservation", "SELECT 0::BIGINT AS total")(lambda s, d: deltas(event_transfers(s, d)).agg(F.sum("delta").alias("total")))
+@query("bank_check", "SELECT count(*) > 10 AS ok FROM events")
+def bank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on a history of transfers: nobody pays oneself and money is conserved."""
+    value = F.array("src", "dst", F.col("amount").cast("string"))
+    history = event_transfers(spark, sf_dir).select(F.lit(0).cast("long").alias("time_us"), F.lit(0).alias("process"), F.lit("ok").alias("type"), F.lit("transfer").alias("f"), value.alias("value"))
+    ok, _ = check_bank(history, 1000, 1000)
+    return spark.range(1).select(F.lit(ok).alias("ok"))
+
+
 query("self_transfers", "SELECT CAST(user_id AS VARCHAR) AS src, CAST(user_id AS VARCHAR) AS dst, event_id % 5 + 1 AS amount FROM events WHERE user_id % 2 = 0")(
     lambda s, d: self_transfers(event_transfers(s, d).withColumn("dst", F.when(F.col("src").cast("long") % 2 == 0, F.col("src")).otherwise(F.col("dst"))))
 )

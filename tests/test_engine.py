@@ -424,6 +424,13 @@ def test_histories(spark):
     assert not check_registers(make(r("1"), r("2")))[0]
 
 
+def test_history_files(spark, tmp_path):
+    from marlstone.operators.history import read_history
+
+    (tmp_path / "h.jsonl").write_text('{"time_us": 1, "process": 0, "type": "ok", "f": "transfer", "value": ["0", "1", "600"]}\n' * 2)
+    assert check_bank(read_history(spark, str(tmp_path / "h.jsonl")), 12, 1000) == (False, "no serial order is free of overdrafts")
+
+
 def test_streamed_versions(spark, tmp_path):
     from marlstone.streaming import latest_changes, read_changes
 
