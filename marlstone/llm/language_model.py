@@ -175,7 +175,8 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
         if arrays := held.take():
             yield from dealt(arrays, (mix(arrays[0]) >> U64(64 - bucket_bits)).astype(np.int64), BIGRAMS)
 
-    span = -(-(types + 1) // (1 << bucket_bits))  # word numbers in a bucket
+    # every task of bigrams has something for all ranges of word numbers, so these are fewer than the buckets of bigrams
+    span = -(-(types + 1) // (1 << max(5, bucket_bits - 5)))
 
     def merge_bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts, endings, small = Gatherer(), Gatherer(), []
