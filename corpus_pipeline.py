@@ -13,33 +13,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import decontamination, packing, simhash, substring_dedup, toxicity
-from marlstone.llm.shared import settle
+from marlstone.llm.shared import reachable, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; ties are toxic."""
+    reachable(spark)
     model = toxicity.fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.without_toxic(docs, model, threshold=0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts whose 5-word shingles are about 0.8 alike or more, the row with the smallest doc_id stays."""
+    reachable(spark)
     return simhash.deduplicate(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 50 words that an earlier document holds are cut; ``n_chars`` follows the new text. No row goes."""
+    reachable(spark)
     out = substring_dedup.deduplicate(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
+    reachable(spark)
     return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document in the training sequences, with its ids."""
+    reachable(spark)
     out = packing.pack_tiers(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return out.select(
         "doc_id", F.col("_start").alias("start"), F.col("_length").alias("length"), F.col("_ids").alias("ids"), F.col("_doc_tokens").alias("doc_tokens"),

@@ -6,6 +6,7 @@ that setting is absent (tests, a laptop) is a local temporary folder used.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -15,6 +16,17 @@ from pyspark.sql import functions as F
 _fallback: str | None = None
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def reachable(spark: SparkSession) -> None:
+    """Let Python workers find this package where the driver did; on a cluster ship it with ``--py-files`` or install it."""
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
 def shared_dir(spark: SparkSession) -> str:
     global _fallback
     named = spark.conf.get("spark.checkpoint.dir", None)
