@@ -39,6 +39,8 @@ BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 SEGMENT = 128
 LIKELY = 0.5
+#: Marginals below this are not added up, so that the length of a text alone makes nothing toxic.
+FAINT = 0.2
 
 
 @dataclass
@@ -77,13 +79,13 @@ def first_tokens(words: Words) -> np.ndarray:
 
 
 def document_features(hot: np.ndarray, words: Words) -> np.ndarray:
-    """By document: 1, the log of the expected number of toxic tokens, its excess over one, the greatest marginal, the log of the length."""
+    """By document: 1, the log of the expected number of toxic tokens that are not faint, its excess over one, the greatest marginal, the log of the length."""
     texts = len(words.first) - 1
     out = np.zeros((texts, 5))
     out[:, 0] = 1
     held = np.flatnonzero(np.diff(words.first) > 0)
     if len(held):
-        total = np.add.reduceat(hot, words.first[held])
+        total = np.add.reduceat(np.where(hot >= FAINT, hot, 0), words.first[held])
         out[held, 1] = np.log1p(total)
         out[held, 2] = np.clip(total - 1, 0, 2)
         out[held, 3] = np.maximum.reduceat(hot, words.first[held])
