@@ -39,6 +39,7 @@ BUCKETS = 1 << 18
 PREFIXES = (3, 4, 5, 6)
 SEGMENT = 128
 LIKELY = 0.5
+MARK_ODDS, MARK_DEVIATIONS = 3, 2.0
 #: Marginals below this are not added up, so that the length of a text alone makes nothing toxic.
 FAINT = 0.2
 
@@ -109,11 +110,14 @@ def unlike(words: Words) -> np.ndarray:
 
 
 def toxic_tokens(words: Words, toxic: np.ndarray, counted: np.ndarray) -> np.ndarray:
-    """Token labels: in toxic documents, words or first letters that mark toxic documents."""
+    """Token labels: in toxic documents, words or first letters that mark toxic documents.
+
+    A mark is found in toxic documents at odds that are surely above MARK_ODDS: by
+    MARK_DEVIATIONS standard deviations of their logarithm.
+    """
     text = np.repeat(np.arange(len(toxic)), np.diff(words.first))
     odds_of = lambda p, n: np.log((p + 0.5) / (toxic[counted].sum() + 1)) - np.log((n + 0.5) / ((~toxic[counted]).sum() + 1))
     out = np.zeros(len(text), dtype=np.int64)
-    floor = max(4, 0.01 * toxic[counted].sum())
     for kind in [words.hashes()] + [prefix_hashes(words, n) for n in PREFIXES[1:]]:
         use = counted[text]
         _, number = np.unique(kind, return_inverse=True)
@@ -122,7 +126,8 @@ def toxic_tokens(words: Words, toxic: np.ndarray, counted: np.ndarray) -> np.nda
         size = number.max() + 1
         hits = np.bincount(of, weights=toxic[where], minlength=size)
         misses = np.bincount(of, minlength=size) - hits
-        marks = (hits >= floor) & (odds_of(hits, misses) > np.log(30))
+        spread = np.sqrt(1 / (hits + 0.5) + 1 / (misses + 0.5))
+        marks = odds_of(hits, misses) - MARK_DEVIATIONS * spread > np.log(MARK_ODDS)
         out |= marks[number] & toxic[text]
     return out
 
