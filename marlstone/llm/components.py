@@ -35,7 +35,8 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         ways = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m"))
+    # written, so that the join deals both sides itself and a node with very many edges can be split
+    least = settle(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("of"), F.least("a", "m").alias("m")), "least")
     met = ways.join(least, ways.a == least.of)
     if large:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

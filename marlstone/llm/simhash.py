@@ -28,8 +28,8 @@ from marlstone.llm.shared import renamed, restored, settle
 from marlstone.llm.words import M1, mix, pieces, text_bytes
 
 SEED = 42
-#: Fingerprints in a block, where a population count has more; blocks grow so that there are at most MAX_BLOCKS or so.
-BLOCK, MAX_BLOCKS = 16384, 96
+#: Fingerprints in a block at least. Blocks grow with the input; there are about as many as give four tasks to a core.
+BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 16, 256
 TILE = 256
 PARTS = 8
 
@@ -86,9 +86,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, lanes: in
     return rows.mapInArrow(run, f"{fields}, _print binary, _ones int")
 
 
-def plan_blocks(counts: dict[int, int], radius: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+def plan_blocks(counts: dict[int, int], radius: int, cores: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """Blocks (least count, greatest count, part, parts) and the pairs of blocks to compare."""
-    size = max(BLOCK, -(-sum(counts.values()) // MAX_BLOCKS))
+    wanted = min(MOST_BLOCKS, max(LEAST_BLOCKS, int((8 * cores) ** 0.5)))
+    size = max(BLOCK, -(-sum(counts.values()) // wanted))
     blocks, low, held = [], None, 0
     ordered = sorted(counts)
     for i, ones in enumerate(ordered):
@@ -182,7 +183,7 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
     """``prints``: distinct ``_print``, ``_ones``. A forest with the components of all pairs within the radius."""
     spark = prints.sparkSession
     counts = {r["_ones"]: r["n"] for r in prints.groupBy("_ones").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks, pairs = plan_blocks(counts, radius)
+    blocks, pairs = plan_blocks(counts, radius, spark.sparkContext.defaultParallelism)
     if not blocks:
         return spark.createDataFrame([], "a binary, b binary")
     first = {}  # population count: number of its first block, and parts
@@ -231,7 +232,7 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([one(k) for k in rows.tolist()], pa.binary()) for rows in (child, parent[child])], names=["a", "b"])
 
     dealt = blobs.select(F.explode(of_block[F.col("block")]).alias("pair"), "blob")
-    return dealt.repartition(max(1, min(len(pairs), 4096)), "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary")
+    return dealt.repartition(2 * len(pairs), "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary")
 
 
 def near_duplicates(

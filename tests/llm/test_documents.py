@@ -189,13 +189,13 @@ def test_tiles_find_every_link():
 def test_blocks_cover_all_pairs(monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 10)
     counts = {20: 3, 25: 35, 26: 4, 27: 4, 40: 1}
-    blocks, pairs = simhash.plan_blocks(counts, 4)
+    blocks, pairs = simhash.plan_blocks(counts, 4, 8)
     for a in counts:
         for b in counts:
             if abs(a - b) <= 4:
                 own = [[i for i, (low, high, _, _) in enumerate(blocks) if low <= x <= high] for x in (a, b)]
                 assert all(tuple(sorted((i, j))) in pairs for i in own[0] for j in own[1])
-    assert simhash.plan_blocks({}, 4) == ([], [])
+    assert simhash.plan_blocks({}, 4, 8) == ([], [])
 
 
 def test_components(spark):
