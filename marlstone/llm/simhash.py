@@ -30,6 +30,8 @@ from marlstone.llm.words import M1, mix, pieces, text_bytes
 SEED = 42
 #: Fingerprints in a block at least. Blocks grow with the input; there are about as many as give four tasks to a core.
 BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 16, 256
+#: A block is never larger than this, so with very many fingerprints there are more blocks.
+BLOCK_BYTES = 256 << 20
 TILE = 256
 PARTS = 8
 
@@ -86,10 +88,10 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, lanes: in
     return rows.mapInArrow(run, f"{fields}, _print binary, _ones int")
 
 
-def plan_blocks(counts: dict[int, int], radius: int, cores: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+def plan_blocks(counts: dict[int, int], radius: int, cores: int, lanes: int = 1) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
     """Blocks (least count, greatest count, part, parts) and the pairs of blocks to compare."""
     wanted = min(MOST_BLOCKS, max(LEAST_BLOCKS, int((8 * cores) ** 0.5)))
-    size = max(BLOCK, -(-sum(counts.values()) // wanted))
+    size = min(BLOCK_BYTES // (8 * lanes), max(BLOCK, -(-sum(counts.values()) // wanted)))
     blocks, low, held = [], None, 0
     ordered = sorted(counts)
     for i, ones in enumerate(ordered):
@@ -183,16 +185,16 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
     """``prints``: distinct ``_print``, ``_ones``. A forest with the components of all pairs within the radius."""
     spark = prints.sparkSession
     counts = {r["_ones"]: r["n"] for r in prints.groupBy("_ones").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks, pairs = plan_blocks(counts, radius, spark.sparkContext.defaultParallelism)
+    blocks, pairs = plan_blocks(counts, radius, spark.sparkContext.defaultParallelism, lanes)
     if not blocks:
         return spark.createDataFrame([], "a binary, b binary")
-    first = {}  # population count: number of its first block, and parts
+    n = len(blocks)
+    start, parts_of = [0] * (max(counts) + 1), [1] * (max(counts) + 1)  # by population count: its first block, and its parts
     for number, (low, high, part, parts) in enumerate(blocks):
         if part == 0:
-            first.update({ones: (number, parts) for ones in range(low, high + 1)})
-    table = F.create_map(*[F.lit(x) for ones, (number, parts) in first.items() for x in (ones, number * 1_000_000 + parts)])
-    code = table[F.col("_ones")]
-    block = (F.floor(code / 1_000_000) + F.pmod(F.xxhash64("_print"), code % 1_000_000)).cast("int")
+            start[low : high + 1], parts_of[low : high + 1] = [number] * (high + 1 - low), [parts] * (high + 1 - low)
+    ones = F.col("_ones") + 1
+    block = (F.element_at(F.lit(start), ones) + F.pmod(F.xxhash64("_print"), F.element_at(F.lit(parts_of), ones))).cast("int")
     width = lanes * 8
 
     def to_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,19 +206,12 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(ones)], pa.binary())], names=["block", "blob"])
 
     blobs = settle(prints.select(block.alias("block"), "_print").repartition(len(blocks), "block").mapInArrow(to_blobs, "block int, blob binary"), "blocks")
-    wanted: dict[int, list[int]] = {}
-    for number, (i, j) in enumerate(pairs):
-        wanted.setdefault(i, []).append(number)
-        if i != j:
-            wanted.setdefault(j, []).append(number)
-    of_block = F.create_map(*[x for k, v in wanted.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, bytes] = {}
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                i, j = pairs[number]
-                if i == j:
+                if number % n == number // n:
                     sides = [blob]
                 elif number in held:
                     sides = [held.pop(number), blob]
@@ -231,7 +226,11 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
                     one = lambda k: both[k * width : k * width + width]
                     yield pa.RecordBatch.from_arrays([pa.array([one(k) for k in rows.tolist()], pa.binary()) for rows in (child, parent[child])], names=["a", "b"])
 
-    dealt = blobs.select(F.explode(of_block[F.col("block")]).alias("pair"), "blob")
+    # a block goes to its pairs with all blocks whose population counts are near enough
+    either = blobs.select("block", "blob", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    first, second = F.least("block", "other"), F.greatest("block", "other")
+    gap = F.element_at(F.lit([b[0] for b in blocks]), second + 1) - F.element_at(F.lit([b[1] for b in blocks]), first + 1)
+    dealt = either.where(gap <= radius).select((second * n + first).alias("pair"), "blob")
     return dealt.repartition(2 * len(pairs), "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary")
 
 
