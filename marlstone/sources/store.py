@@ -183,9 +183,8 @@ class Store:
             ts = manifest.clock + 1
             typed = rows.select(*[F.col(c.name).cast(c.type.spark).alias(c.name) for c in table.columns])
             path = self.write_files(table, versions(typed, table.primary_key, ts))
-            written = self.read_files(table, [path]).agg(F.count(F.lit(1)).alias("n"), F.count("_pk").alias("k")).first()
-            repeated = self.read_files(table, [path]).groupBy("_pk").count().where("count > 1").limit(1).count()
-            if written["n"] != written["k"] or repeated:
+            keys = self.read_files(table, [path]).groupBy("_pk").agg(F.count(F.lit(1)).alias("n"))
+            if keys.where("_pk IS NULL OR n > 1").limit(1).count():
                 raise ValueError(f"rows for {name} have a null or repeated key")
             files.base, files.base_ts, manifest.clock = [path], ts, ts
             try:
