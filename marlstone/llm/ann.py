@@ -4,10 +4,11 @@ Vectors are centred on the corpus mean and turned by one random rotation. A code
 keeps the sign of each rotated component in one bit, the length of the centred
 vector and the inner product of its direction with the code's. From these a
 query's inner product is estimated without bias, with an error that exceeds
-``epsilon`` standard bounds only rarely. In each tile of queries and vectors, the
-k-th greatest lower bound is found and exact products are computed for all
-vectors whose upper bound reaches it: ties and crowds of equal vectors are all
-looked at, none is cut off.
+``epsilon`` standard bounds only rarely. In each tile of queries and vectors, exact
+products of the k vectors with the greatest estimates give a level that the k-th
+best can't be below, and exact products are computed for all vectors whose upper
+bound reaches it: ties and crowds of equal vectors are all looked at, none is cut
+off.
 
 Every vector is coded; the rotation and the mean are all that is fitted. Queries
 are dealt in blocks against blocks of vectors, each task holding one of either.
@@ -33,7 +34,7 @@ from marlstone.llm.shared import settle
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Blocks grow with the input from here on, up to these sizes in bytes of vectors.
 MAX_BLOCKS, MAX_BLOCK_BYTES = 64, 256 << 20
-EPSILON = 3.0
+EPSILON = 2.2
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:
@@ -55,23 +56,23 @@ class Codes:
         self.aligned[self.length == 0] = 1
 
     def estimate(self, queries: np.ndarray, mean: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products (vectors, queries) and the half width of their bounds."""
+        """Estimated inner products (queries, vectors) and the half width of their bounds."""
         turned = (queries @ turn).astype(np.float32)
         signs = np.unpackbits(self.bits, axis=1, count=self.dim).astype(np.float32) * 2 - 1
-        raw = signs @ turned.T / np.float32(np.sqrt(self.dim))
+        raw = turned @ signs.T / np.float32(np.sqrt(self.dim))
         scale = (self.length / self.aligned).astype(np.float32)
         centre = (queries @ mean).astype(np.float32)
         spread = np.sqrt(np.maximum(0, 1 - self.aligned**2)) / self.aligned * self.length / np.sqrt(max(1, self.dim - 1))
         size = np.sqrt((queries**2).sum(axis=1))
         slack = 1e-5 * (self.length + np.sqrt((mean**2).sum()))  # of single precision
-        return raw * scale[:, None] + centre[None, :], ((epsilon * spread + slack)[:, None] * size[None, :]).astype(np.float32)
+        return raw * scale[None, :] + centre[:, None], (size[:, None] * (epsilon * spread + slack)[None, :]).astype(np.float32)
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, components in order, alike for equal vectors wherever they lie."""
     out = np.zeros(len(vectors))
-    for d in range(len(query)):
-        out += vectors[:, d] * query[d]
+    for component, x in zip(np.ascontiguousarray(vectors.T), query):
+        out += component * x
     return out
 
 
@@ -80,17 +81,18 @@ def search_tile(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, que
     for begin in range(0, len(queries), 128):
         some, some_ids = queries[begin : begin + 128], query_ids[begin : begin + 128]
         guess, width = codes.estimate(some, mean, turn, epsilon)
-        guess[ids[:, None] == some_ids[None, :]] = -np.inf
-        low = guess - width
+        guess[some_ids[:, None] == ids[None, :]] = -np.inf
+        high = guess + width
         reach = min(k, len(ids))
-        floor = np.partition(low, len(ids) - reach, axis=0)[len(ids) - reach]
-        keep = (guess + width >= floor) & (guess > -np.inf)
         for q in range(len(some)):
-            rows = np.flatnonzero(keep[:, q])
-            score = exact(vectors[rows], some[q])
-            if len(rows) > k:
+            top = np.argpartition(guess[q], len(ids) - reach)[len(ids) - reach :]
+            level = -np.inf if np.isneginf(guess[q, top]).any() else (vectors[top] @ some[q]).min()
+            rows = np.flatnonzero((high[q] >= level - 1e-6 * abs(level)) & (guess[q] > -np.inf))
+            score = vectors[rows] @ some[q]
+            if len(rows) > k:  # all that rounding could bring among the best, equal vectors included
                 level = np.partition(score, len(rows) - k)[len(rows) - k]
-                rows, score = rows[score >= level], score[score >= level]
+                rows = rows[score >= level - 1e-9 * np.abs(score).max()]
+            score = exact(vectors[rows], some[q])
             best = np.lexsort((ids[rows], -score))[:k]
             yield int(some_ids[q]), ids[rows[best]], score[best]
 

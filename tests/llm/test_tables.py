@@ -92,8 +92,8 @@ def test_bounds_hold():
     vectors, queries = rng.normal(size=(400, 64)), rng.normal(size=(50, 64))
     mean, turn = vectors.mean(axis=0), ann.rotation(64, 1)
     guess, width = ann.Codes(vectors, mean, turn).estimate(queries, mean, turn, 3.0)
-    inside = np.abs(guess - vectors @ queries.T) <= width
-    assert inside.mean() > 0.99 and abs((guess - vectors @ queries.T).mean()) < 0.2
+    inside = np.abs(guess - queries @ vectors.T) <= width
+    assert inside.mean() > 0.99 and abs((guess - queries @ vectors.T).mean()) < 0.2
 
 
 # op 7
