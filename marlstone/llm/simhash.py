@@ -34,6 +34,8 @@ BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 16, 256
 BLOCK_BYTES = 256 << 20
 TILE = 256
 PARTS = 8
+#: Shingles in a part of a candidate group whose pairs are verified, and the parts that a group has between these sizes.
+LEAST_OF_PART, MOST_OF_PART, PARTS_OF_GROUP = 1 << 15, 1 << 21, 16
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -50,9 +52,8 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
 
 
-def fingerprint(text: bytes, size: int, lanes: int) -> np.ndarray:
+def fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
     """``lanes`` 64-bit words; a bit is 1 if set in over half the shingle hashes. Lane 0 uses the hashes themselves."""
-    hashes = np.array(shingle_hashes(text, size), dtype=np.uint64)
     out = np.zeros(lanes, dtype=np.uint64)
     if not len(hashes):
         return out
@@ -66,10 +67,14 @@ def fingerprint(text: bytes, size: int, lanes: int) -> np.ndarray:
     return out
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, lanes: int, keep: list[str]) -> DataFrame:
-    """``keep`` columns of every row with ``_print`` (big-endian bytes) and ``_ones``."""
+def fingerprints(df: DataFrame, text_col: str, size: int, lanes: int, keep: list[str], sets: bool = False) -> DataFrame:
+    """``keep`` columns of every row with ``_print`` (big-endian bytes) and ``_ones``.
+
+    With ``sets``, repeated shingles vote once, and ``_set`` (a hash of the set of shingles) and ``_size`` are added.
+    """
     schema = df.select(*keep).schema
     kept = [c for c in keep]
+    added = ["_print", "_ones", "_set", "_size"] if sets else ["_print", "_ones"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,15 +82,22 @@ def fingerprints(df: DataFrame, id_col: str, text_col: str, size: int, lanes: in
                 data, at = text_bytes(batch.column(batch.schema.get_field_index("_text")))
                 data = data.lower()
                 found = np.zeros((batch.num_rows, lanes), dtype=np.uint64)
+                names, sizes = [], []
                 for i in range(batch.num_rows):
-                    found[i] = fingerprint(data[at[i] : at[i + 1]], size, lanes)
+                    hashes = np.array(shingle_hashes(data[at[i] : at[i + 1]], size), dtype=np.uint64)
+                    if sets:
+                        hashes = np.unique(hashes)
+                        names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
+                        sizes.append(len(hashes))
+                    found[i] = fingerprint(hashes, lanes)
                 ones = np.bitwise_count(found).sum(axis=1, dtype=np.int32)
                 prints = pa.array([row.tobytes() for row in found.astype(">u8")], type=pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [prints, pa.array(ones)], names=kept + ["_print", "_ones"])
+                more = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64())] if sets else []
+                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [prints, pa.array(ones), *more], names=kept + added)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
-    return rows.mapInArrow(run, f"{fields}, _print binary, _ones int")
+    return rows.mapInArrow(run, f"{fields}, _print binary, _ones int" + ", _set binary, _size long" * sets)
 
 
 def plan_blocks(counts: dict[int, int], radius: int, cores: int, lanes: int = 1) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
@@ -239,7 +251,7 @@ def near_duplicates(
 ) -> DataFrame:
     """``id_col`` (and ``keep``) of every row with ``_print`` and ``component_id``, the smallest id its fingerprint reaches."""
     keep = list(dict.fromkeys([id_col, *(keep or [])]))
-    rows = settle(fingerprints(df, id_col, text_col, shingle, lanes, keep), "prints")
+    rows = settle(fingerprints(df, text_col, shingle, lanes, keep), "prints")
     distinct = settle(rows.groupBy("_print", "_ones").agg(F.min(F.col(f"`{id_col}`")).alias("_least")), "distinct-prints")
     roots = components(links(distinct.select("_print", "_ones"), lanes, radius, screen))
     linked = settle(distinct.join(roots, distinct["_print"] == roots["node"]).select("_print", "_least", "root"), "linked-prints")
@@ -254,20 +266,113 @@ def near_duplicates(
     return rows.join(named, rows["_print"] == named["_named"]).drop("_named", "_ones")
 
 
-def deduplicate(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, radius: int = 92, screen: int = 48) -> DataFrame:
+def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Labels (the first member) of the components of all pairs of ``sets`` whose Jaccard similarity is high enough.
+
+    A member that was reached is compared with those not yet reached only, so a group
+    of near copies takes few comparisons.
+    """
+    label = np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    values, codes = np.unique(np.concatenate([*sets, np.zeros(0, dtype=np.uint64)]), return_inverse=True)
+    ends = np.cumsum(sizes)
+    of = lambda i: codes[ends[i] - sizes[i] : ends[i]]
+    waiting = sizes > 0
+    held = pool = None
+    marks = np.zeros(len(values), dtype=bool)
+    for first in range(len(sets)):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        todo = [first]
+        while todo:
+            one = todo.pop()
+            if held is None or 4 * waiting[held].sum() < 3 * len(held):
+                held = np.flatnonzero(waiting)
+                pool = np.concatenate([*map(of, held), np.zeros(0, dtype=codes.dtype)])
+                begins = np.cumsum(sizes[held]) - sizes[held]
+            if not len(held):
+                break
+            marks[of(one)] = True
+            shared = np.add.reduceat(marks[pool], begins, dtype=np.int64)
+            marks[of(one)] = False
+            near = held[(shared / (sizes[held] + sizes[one] - shared) >= similarity) & waiting[held]]
+            waiting[near] = False
+            label[near] = first
+            todo += near.tolist()
+    return label
+
+
+def verified(df: DataFrame, id_col: str, text_col: str, hash_col: str, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``a``, ``b`` between sets of ``candidates`` with the components of all pairs within a ``_group`` that are alike enough.
+
+    ``candidates``: ``_set``, ``_size``, ``_group`` and ``_best``, the row whose text has the set.
+    Groups are cut into parts by the hash of the set, and each pair of parts is compared in
+    one task; a row goes to fewer than ``PARTS_OF_GROUP`` tasks until parts reach ``MOST_OF_PART`` shingles.
+    """
+    totals = candidates.groupBy("_group").agg(F.sum(F.col("_size") + 1).alias("_total"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    parts = F.ceil(F.col("_total") / F.least(F.lit(MOST_OF_PART), F.greatest(F.lit(LEAST_OF_PART), F.col("_total") / PARTS_OF_GROUP))).cast("long")
+    members = candidates.join(totals, "_group").select("_set", "_group", parts.alias("_parts"), F.col("_best.i").alias("_i"), F.col("_best.h").alias("_h"))
+    rows = df.select(F.col(id_col), F.col(hash_col), F.col(text_col).alias("_text"))
+    rows = rows.join(members, rows[id_col].eqNullSafe(members["_i"]) & (rows[hash_col] == members["_h"])).select("_set", "_group", "_parts", "_text")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in pieces(whole, "_text"):
+                data, at = text_bytes(batch.column(3))
+                data = data.lower()
+                blobs = [np.unique(np.array(shingle_hashes(data[at[i] : at[i + 1]], shingle), dtype=np.uint64)).tobytes() for i in range(batch.num_rows)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["_set", "_group", "_parts", "_blob"])
+
+    own = F.pmod(F.xxhash64("_set"), F.col("_parts"))
+    others = F.when(F.col("_parts") == 1, F.array(F.lit(0).cast("long"))).otherwise(F.array_remove(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), own))
+    sets = rows.mapInArrow(to_sets, "_set binary, _group binary, _parts long, _blob binary").select("_set", "_group", "_parts", "_blob", own.alias("_own"), F.explode(others).alias("_other"))
+    dealt = sets.select("_group", (F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")).alias("_pair"), "_set", "_blob")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links_of(held: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
+            names = list(held)
+            label = linked_sets([np.frombuffer(b, dtype=np.uint64) for b in held.values()], similarity)
+            child = np.flatnonzero(label != np.arange(len(names)))
+            if len(child):
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in rows.tolist()], pa.binary()) for rows in (child, label[child])], names=["a", "b"])
+
+        now, held = None, {}
+        for batch in batches:
+            for group, pair, name, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if (group, pair) != now:
+                    yield from links_of(held)
+                    now, held = (group, pair), {}
+                held[name] = blob
+        yield from links_of(held)
+
+    return dealt.repartition("_group", "_pair").sortWithinPartitions("_group", "_pair").mapInArrow(compare, "a binary, b binary")
+
+
+def deduplicate(
+    df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, lanes: int = 8, radius: int = 140, screen: int = 48, similarity: float = 0.8
+) -> DataFrame:
     """Rows of ``df`` without near copies: of each component the row with the smallest id stays, of repeated rows one.
 
-    With 512 bits, texts whose shingles have a Jaccard similarity of 0.8 differ in 78
-    bits on average with a standard deviation of 8, and in 19 of the first 128 with
-    one of 4; unrelated texts differ in 256 and 64. The radius leaves room for nearly
-    two deviations, the screen for seven.
+    Texts are linked if the sets of their shingles have a Jaccard similarity of
+    ``similarity`` at least, which is computed from the sets (of 64-bit hashes).
+    Fingerprints only say which pairs to look at: with 512 bits of distinct shingles,
+    texts at 0.8 differ in 78 bits on average with a standard deviation of 8, and in 19
+    of the first 128 with one of 4 (very short texts in 96 and 24 at worst); unrelated
+    texts differ in 256 and 64. Within a candidate component all pairs are compared.
     """
     plain, names = renamed(df)
     ident, text = names[id_col], names[text_col]
     marked = plain.withColumn("_text_hash", F.xxhash64(text))
-    groups = near_duplicates(marked, id_col=ident, text_col=text, shingle=shingle, lanes=lanes, radius=radius, screen=screen, keep=["_text_hash"])
-    chosen = groups.where(F.col(ident).eqNullSafe(F.col("component_id"))).groupBy("_root").agg(F.min(F.struct(F.col(ident).alias("i"), F.col("_text_hash").alias("h"))).alias("best"))
-    chosen = settle(chosen.select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
+    rows = settle(fingerprints(marked, text, shingle, lanes, [ident, "_text_hash"], sets=True), "prints")
+    best = F.min(F.struct(F.col(ident).isNull().alias("n"), F.col(ident).alias("i"), F.col("_text_hash").alias("h"))).alias("_best")
+    sets = settle(rows.groupBy("_set", "_size", "_print", "_ones").agg(best), "sets")
+    prints = settle(sets.select("_print", "_ones").distinct(), "distinct-prints")
+    roots = components(links(prints, lanes, radius, screen))
+    candidates = settle(sets.join(roots, sets["_print"] == roots["node"], "left").select("_set", "_size", "_best", F.coalesce("root", "_print").alias("_group")), "candidates")
+    linked = components(verified(marked, ident, text, "_text_hash", candidates, shingle, similarity))
+    named = candidates.join(linked, candidates["_set"] == linked["node"], "left").select("_best", F.coalesce("root", "_set").alias("_of"))
+    chosen = settle(named.groupBy("_of").agg(F.min("_best").alias("best")).select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
     here = marked.join(chosen, marked[ident].eqNullSafe(chosen["_i"]) & (marked["_text_hash"] == chosen["_h"]), "left_semi")
     once = here.withColumn("_turn", F.expr(f"row_number() over (partition by {ident}, _text_hash order by _text_hash)"))
     return restored(once.where("_turn = 1"), names)

@@ -217,6 +217,50 @@ def test_near_copies_leave_one(spark):
     assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == [(3, ""), (5, base), (7, texts[0])]
 
 
+def shingle_set(text, size=5):
+    w = words_of(text, lower=True)
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def jaccard(a, b):
+    return 1.0 if a == b else len(a & b) / len(a | b)
+
+
+def test_repeated_line_is_no_near_copy(spark):
+    rng = random.Random(10)
+    line = " ".join(f"l{i}" for i in range(12))
+    texts = [" ".join(f"t{t}x{i}" for i in range(300)) + f" {line}" * 40 for t in range(4)]
+    base = [f"b{i}" for i in range(400)]
+    texts += [" ".join(base), " ".join(base) + " " + "again and " * 400]  # alike at 0.99; the repeats must not outvote the rest
+    kept = simhash.deduplicate(frame(spark, texts)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [0, 1, 2, 3, 4]
+
+
+@pytest.mark.parametrize("part", [1 << 15, 300])
+def test_near_copies_are_exactly_those_alike(spark, monkeypatch, part):
+    monkeypatch.setattr(simhash, "LEAST_OF_PART", part)
+    rng, texts = random.Random(11), []
+    for length in (5, 8, 9, 13, 60, 150, 400):
+        for _ in range(4):
+            base = prose(rng, length, 5000).split()
+            texts.append(" ".join(base))
+            for share in (0.01, 0.02, 0.025, 0.03, 0.04):
+                base = [w if rng.random() > share else f"n{rng.randrange(10**6)}" for w in base]  # chains
+                texts.append(" ".join(base))
+            texts.append(" ".join(base[: len(base) * 9 // 10]))
+    rng.shuffle(texts)
+    sets = [shingle_set(t) for t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        before = list(label)
+        for i in range(len(texts)):
+            label[i] = min(label[j] for j in range(len(texts)) if jaccard(sets[i], sets[j]) >= 0.8)
+        if label == before:
+            break
+    assert 0 < len(set(label)) < len(texts)
+    assert sorted(r["doc_id"] for r in simhash.deduplicate(frame(spark, texts)).collect()) == sorted(set(label))
+
+
 # op 10
 
 
