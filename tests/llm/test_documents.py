@@ -356,6 +356,23 @@ def test_longest_overlap():
             assert same[s] and same[e - 1] and e - s <= best and same[s:e].mean() >= 0.8
 
 
+def test_every_overlap_is_found():
+    rng = random.Random(12)
+    for n in [*range(1, 18), 20, 25, 40]:
+        for _ in range(60):
+            item = [f"i{rng.randrange(10**6)}" for _ in range(n)]
+            copy = list(item)
+            for at in rng.sample(range(n), rng.randrange(0, n // 5 + 2)):
+                copy[at] = "other"
+            doc = [f"d{i}" for i in range(5)] + copy + [f"e{i}" for i in range(5)]
+            same, least = [a == b for a, b in zip(copy, item)], min(13, n)
+            want = any(sum(same[a:b]) >= 0.8 * (b - a) - 1e-12 for a in range(n) for b in range(a + least, n + 1))
+            index = decontamination.Index.of([7], [find_words(pa.array([" ".join(item)])).hashes()])
+            found = decontamination.leaks_of(find_words(pa.array([" ".join(doc)])), index, 13, 0.8)[0]
+            assert bool(found) == want, (n, same)
+            assert not found or found[0]["length"] >= least and found[0]["matches"] >= 0.8 * found[0]["length"] - 1e-12
+
+
 # op 1
 
 
