@@ -373,6 +373,15 @@ def test_every_overlap_is_found():
             assert not found or found[0]["length"] >= least and found[0]["matches"] >= 0.8 * found[0]["length"] - 1e-12
 
 
+def test_short_items_on_request(spark):
+    items = ["yes", "so it goes", "a b c d e", "what is it for you now then"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = frame(spark, ["he said yes", "And so it goes.", "a b x d e", "what is it for them now then", "no"])
+    found = lambda **o: sorted((r["doc_id"], [x["item_id"] for x in r["_leaks"]]) for r in decontamination.find_leaks(df, bench, keep=["doc_id"], **o).collect())
+    assert found(least_words=1) == [(0, [0]), (1, [1]), (2, [2]), (3, [3]), (4, [])]
+    assert all(not x for _, x in found())
+
+
 # op 1
 
 
