@@ -171,6 +171,13 @@ def real():
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], dtype="<u4")
 
 
+def test_added_tokens_are_those_of_the_library(real):
+    encode, end = tokenizing.encoder(PATH), "<|endoftext|>"
+    for text in (f"the end {end}start", end, f"{end}{end} a", f" x {end} \n y{end}", f"<|endoftext|{end}|>", " " * 3000 + f"x{end}" + " " * 3000 + "x"):
+        assert encode(text).tolist() == real(text)[:-1].tolist()
+    assert 50256 in encode(f"the end {end}start")
+
+
 def test_ids_are_those_of_the_library(real):
     rng = random.Random(1)
     texts = [t for t in corpus() if t] + ["don't  stop\n\n\t now!!  ", "日本語 und Ünïcödé 🎉🎉", "\u0000\u200b x", "a" * 3000, " " * 3000 + "x", "".join(chr(rng.randrange(1, 0xD7FF)) for _ in range(4000))]
