@@ -34,7 +34,7 @@ from marlstone.llm.shared import settle
 ROW_BLOCK, QUERY_BLOCK = 8192, 1024
 #: Blocks grow with the input from here on, up to these sizes in bytes of vectors.
 MAX_BLOCKS, MAX_BLOCK_BYTES = 64, 256 << 20
-EPSILON = 2.2
+EPSILON = 3.0
 
 
 def rotation(dim: int, seed: int) -> np.ndarray:

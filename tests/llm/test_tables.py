@@ -96,6 +96,14 @@ def test_bounds_hold():
     assert inside.mean() > 0.99 and abs((guess - queries @ vectors.T).mean()) < 0.2
 
 
+def test_shipped_bounds_hold():
+    rng = np.random.default_rng(4)
+    vectors, queries = rng.normal(size=(400, 64)), rng.normal(size=(50, 64))
+    mean, turn = vectors.mean(axis=0), ann.rotation(64, 1)
+    guess, width = ann.Codes(vectors, mean, turn).estimate(queries, mean, turn, ann.EPSILON)
+    assert (np.abs(guess - queries @ vectors.T) <= width).mean() > 0.99
+
+
 # op 7
 
 
