@@ -6,17 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """By group, the element at ``min(n - 1, floor(share * n))`` of the ascending values.
+#: Ranks of the sketch are off by one in so many at most; a bracket holds about twice that share of a group.
+SKETCH_ACCURACY = 10_000
 
-    Ranks come from a distributed sort, not from a gathered list: rows are counted by
-    group and value, so a group of any size is summed before it meets its window.
+
+def exact_percentiles(df: DataFrame, group: str, value: str, shares: dict[str, float], accuracy: int = SKETCH_ACCURACY) -> DataFrame:
+    """By group, the element at ``min(n - 1, floor(share * n))`` of the ascending values; nulls are left out.
+
+    A mergeable sketch brackets each wanted rank between two values first. What lies
+    below a bracket is only counted, with partial counts before the exchange; ranks are
+    worked out among the values of the bracket, so no window holds a group's values but
+    about two in ``accuracy`` of them, repeated values counted as one row.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = counted.selectExpr("*", f"sum(_n) over (partition by {group} order by {value}) as _upto", f"sum(_n) over (partition by {group}) as _all")
-    wanted = {name: F.least(F.col("_all") - 1, F.floor(F.lit(share) * F.col("_all"))) for name, share in shares.items()}
-    hit = [F.min(F.when(F.col("_upto") > at, F.col(value))).alias(name) for name, at in wanted.items()]
-    return ranked.groupBy(group).agg(*hit)
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("_group"), F.col(value).alias("_value"))
+    slack, names = 2 / accuracy, list(shares)
+    edges = [min(1.0, max(0.0, share + side * slack)) for share in shares.values() for side in (-1, 1)]
+    sketch = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_value", edges, accuracy).alias("_edges"))
+    wanted = sketch.select(
+        F.col("_group").alias("_of"),
+        F.inline(
+            F.array(*[
+                F.struct(
+                    F.lit(i).alias("_share"), F.least(F.col("_n") - 1, F.floor(F.lit(share) * F.col("_n"))).alias("_rank"), F.col("_edges")[2 * i].alias("_low"), F.col("_edges")[2 * i + 1].alias("_high")
+                )
+                for i, share in enumerate(shares.values())
+            ])
+        ),
+    )
+    met = rows.join(wanted, F.col("_group").eqNullSafe(F.col("_of"))).select("_group", "_share", "_rank", "_low", "_value", "_high").where("_value <= _high")
+    # one row for all that lies below the bracket, one for each value in it
+    counted = met.groupBy("_group", "_share", "_rank", F.when(F.col("_value") >= F.col("_low"), F.col("_value")).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = counted.selectExpr("*", "sum(_n) over (partition by _group, _share order by _value asc nulls first) as _upto")
+    hit = ranked.where("_value IS NOT NULL AND _upto > _rank").groupBy("_group")
+    return hit.agg(*[F.min(F.when(F.col("_share") == i, F.col("_value"))).alias(name) for i, name in enumerate(names)]).withColumnRenamed("_group", group)
 
 
 def success_rate(committed: Column, aborted: Column) -> Column:

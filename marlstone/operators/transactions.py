@@ -9,14 +9,18 @@ are serialised by the manifest chain. Blind writes don't conflict: the last wins
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.sources.catalog import SchemaError, TableDef
-from marlstone.sources.store import Manifest, ManifestTaken, Store
+from marlstone.sources.store import Files, Manifest, ManifestTaken, Store
 from marlstone.sources.versions import latest, overlay, versions
 
+#: Inserted rows in one expression of a plan.
+LITERALS = 256
+
 
 class Conflict(RuntimeError):
     """Something this transaction read was changed by another."""
@@ -24,10 +28,15 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Buffer:
-    """Written versions in order; ``_commit_ts`` holds the number of the write until the commit."""
+    """Written versions in order; ``_commit_ts`` holds the number of the write until the commit.
+
+    Rows given as values wait in a list and become one table when the buffer is read,
+    so a plan does not grow with the number of single inserts.
+    """
 
     rows: DataFrame | None = None
     writes: int = 0
+    waiting: list[tuple] = field(default_factory=list)
 
 
 @dataclass
@@ -37,6 +46,7 @@ class Transaction:
     buffers: dict[str, Buffer] = field(default_factory=dict)
     keys_read: dict[str, list[DataFrame]] = field(default_factory=dict)
     tables_read: set[str] = field(default_factory=set)
+    created: list[TableDef] = field(default_factory=list)
     open: bool = True
 
     @staticmethod
@@ -50,12 +60,37 @@ class Transaction:
     def table(self, name: str) -> TableDef:
         return self.manifest.catalog.get(name)
 
+    def create_table(self, table: TableDef) -> TableDef:
+        """Seen by this transaction only until it commits; refused then if another has made a table of this name."""
+        self._check_open()
+        made = self.manifest.catalog.create(table)
+        self.manifest.files[made.name] = Files()
+        self.created.append(table)
+        return made
+
+    def _written(self, name: str) -> DataFrame | None:
+        """All versions in the buffer."""
+        buffer = self.buffers.get(name)
+        if buffer is None:
+            return None
+        if buffer.waiting:
+            table = self.table(name)
+            kinds = {c.name: c.type.spark for c in table.columns}
+            rows = []
+            for at in range(0, len(buffer.waiting), LITERALS):
+                some = [F.struct(*[F.lit(v).cast(k).alias(n) for (n, k), v in zip(kinds.items(), values)], F.lit(number).cast("long").alias("_commit_ts")) for *values, number in buffer.waiting[at : at + LITERALS]]
+                rows.append(self.store.spark.range(1).select(F.inline(F.array(*some))))
+            made = versions(reduce(DataFrame.unionByName, rows), table.primary_key, F.col("_commit_ts"))
+            buffer.rows = made if buffer.rows is None else buffer.rows.unionByName(made)
+            buffer.waiting = []
+        return buffer.rows
+
     def _log(self, name: str, key: str | None = None) -> DataFrame:
         base = self.store.snapshot_log(name, self.manifest, key=key)
-        buffer = self.buffers.get(name)
-        if buffer is None or buffer.rows is None:
+        written = self._written(name)
+        if written is None:
             return base
-        mine = buffer.rows if key is None else buffer.rows.where(F.col("_pk") == key)
+        mine = written if key is None else written.where(F.col("_pk") == key)
         return overlay(base, latest(mine).select(*base.columns))
 
     def scan(self, name: str) -> DataFrame:
@@ -90,8 +125,9 @@ class Transaction:
             raise SchemaError(f"insert into {name}: " + "; ".join(f"{w} {', '.join(sorted(s))}" for w, s in (("unknown columns", unknown), ("no value for", missing)) if s))
         if values[table.primary_key] is None:
             raise SchemaError(f"insert into {name}: the key is null")
-        row = self.store.spark.range(1).select(*[F.lit(values[c.name]).cast(c.type.spark).alias(c.name) for c in table.columns])
-        self._write(name, row, deleted=False)
+        buffer = self.buffers.setdefault(name, Buffer())
+        buffer.writes += 1
+        buffer.waiting.append((*(values[c.name] for c in table.columns), buffer.writes))
         return 1
 
     def insert_rows(self, name: str, rows: DataFrame) -> None:
@@ -134,25 +170,31 @@ class Transaction:
         """Returns the commit's timestamp (the snapshot's, if nothing was written)."""
         self._check_open()
         self.open = False
-        changed = {n: b for n, b in self.buffers.items() if b.rows is not None}
-        if not changed:
+        changed = {n: rows for n in self.buffers if (rows := self._written(n)) is not None}
+        if not changed and not self.created:
             return self.snapshot_ts
         while True:
             now = self.store.manifest()
             self._validate(now)
+            for table in self.created:
+                if table.name in now.catalog.tables:
+                    raise Conflict(f"table {table.name} was made by another transaction")
+                now.files[now.catalog.create(table).name] = Files()
             ts = now.clock + 1
-            for name, buffer in changed.items():
-                rows = latest(buffer.rows).withColumn("_commit_ts", F.lit(ts).cast("long"))
-                now.files[name].deltas.append([self.store.write_files(now.catalog.get(name), rows), ts])
+            for name, written in changed.items():
+                rows = latest(written).withColumn("_commit_ts", F.lit(ts).cast("long"))
+                now.files[name].deltas.append([self.store.write_files(now.catalog.get(name), rows), ts, ts])
             now.clock = ts
             try:
                 self.store.publish(now)
-                return ts
             except ManifestTaken:
                 continue
+            for name in changed:
+                self.store.merge_deltas(name)
+            return ts
 
     def _validate(self, now: Manifest) -> None:
-        for name in self.tables_read | set(self.keys_read):
+        for name in (self.tables_read | set(self.keys_read)) - {t.name for t in self.created}:
             newer = self.store.changed_since(name, now, self.snapshot_ts)
             if newer is None:
                 continue

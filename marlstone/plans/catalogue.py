@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +14,10 @@ from marlstone.functions.statistics import exact_percentiles, padded_key, succes
 from marlstone.operators import select as selects
 from marlstone.operators import workload
 from marlstone.operators.aggregates import Aggregate
-from marlstone.operators.history import check_bank, deltas, self_transfers
+from marlstone.operators.history import bank_totals, check_bank, deltas, read_history, register_faults, self_transfers
 from marlstone.operators.select import Join, Select
 from marlstone.operators.transactions import Conflict, Transaction
-from marlstone.plans.session import Session
+from marlstone.plans.session import Session, SessionError
 from marlstone.sources.catalog import TableDef
 from marlstone.sources.generator import Scale, order_entry
 from marlstone.sources.scratch import scratch_folder
@@ -68,7 +69,7 @@ spec_query("select_star", "SELECT * FROM customer", Select("customer"))
 spec_query("project_cols", "SELECT c_custkey, c_name FROM customer", Select("customer", ("c_custkey", "c_name")))
 spec_query("project_qualified", "SELECT c_custkey, c_acctbal FROM customer", Select("customer", ("customer.c_custkey", "customer.c_acctbal")))
 for _name, _op in (("eq", "="), ("ne", "<>"), ("lt", "<"), ("le", "<="), ("gt", ">"), ("ge", ">=")):
-    for _kind, _column, _value, _sql in (("int", "c_nationkey", 7, "7"), ("double", "c_acctbal", 1000.5, "1000.5::DOUBLE"), ("string", "c_mktsegment", "BUILDING", "'BUILDING'")):
+    for _kind, _column, _value, _sql in (("int", "c_nationkey", 7, "7"), ("double", "c_acctbal", 1863.84, "1863.84::DOUBLE"), ("string", "c_mktsegment", "BUILDING", "'BUILDING'")):
         spec_query(
             f"filter_{_name}_{_kind}",
             f"SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment FROM customer WHERE {_column} {_op} {_sql}",
@@ -174,11 +175,11 @@ spec_query(
 
 # writes, as versions on top of a table and the snapshot that follows
 
-ROW = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority"
+ROW = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(*ROW.split(", "))
+    return table(spark, sf_dir, "orders")
 
 
 def rewritten(base: DataFrame, changed: DataFrame, deleted: bool = False) -> DataFrame:
@@ -187,19 +188,19 @@ def rewritten(base: DataFrame, changed: DataFrame, deleted: bool = False) -> Dat
     return overlay(versions(base, "o_orderkey", 1), newer).select(*base.columns)
 
 
-@query("update_add", f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders")
+@query("update_add", f"SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 100 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def update_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir)
     return rewritten(base, base.where("o_orderkey % 10 = 3").withColumn("o_totalprice", F.col("o_totalprice") + 100))
 
 
-@query("update_sub", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 17 THEN o_totalprice - 50.5::DOUBLE ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders")
+@query("update_sub", "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 17 THEN o_totalprice - 50.5::DOUBLE ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def update_sub(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir)
     return rewritten(base, point(base, "o_orderkey", 17).withColumn("o_totalprice", F.col("o_totalprice") - 50.5))
 
 
-@query("update_literal", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("update_literal", "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey < 100 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
 def update_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir)
     return rewritten(base, base.where("o_orderkey < 100").withColumn("o_orderstatus", F.lit("X")))
@@ -219,26 +220,26 @@ def delete_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "insert_upsert",
-    f"SELECT {ROW} FROM orders WHERE o_orderkey <> 5 UNION ALL SELECT 5, 1, 'N', 9.5, '1-URGENT' UNION ALL SELECT -7, 2, 'N', 10.5, '2-HIGH'",
+    f"SELECT {ROW} FROM orders WHERE o_orderkey <> 5 UNION ALL SELECT 5, 1, 'N', 9.5, TIMESTAMP '1998-02-03 04:05:06', '1-URGENT' UNION ALL SELECT -7, 2, 'N', 10.5, NULL, '2-HIGH'",
 )
 def insert_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = orders(spark, sf_dir)
-    new = spark.sql("SELECT * FROM VALUES (5L, 1L, 'N', 9.5D, '1-URGENT'), (-7L, 2L, 'N', 10.5D, '2-HIGH') AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority)")
+    new = spark.sql("SELECT * FROM VALUES (5L, 1L, 'N', 9.5D, TIMESTAMP_NTZ '1998-02-03 04:05:06', '1-URGENT'), (-7L, 2L, 'N', 10.5D, NULL, '2-HIGH') AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority)")
     return rewritten(base, new)
 
 
 # snapshots
 
 LOG_SQL = """WITH log AS (
-  SELECT o_orderkey, o_totalprice, 10 AS ts, false AS del FROM orders
-  UNION ALL SELECT o_orderkey, o_totalprice + 1, 20, false FROM orders WHERE o_orderkey % 5 = 0
-  UNION ALL SELECT o_orderkey, NULL, 30, true FROM orders WHERE o_orderkey % 7 = 0),
+  SELECT *, 10 AS ts, false AS del FROM orders
+  UNION ALL SELECT * REPLACE (o_totalprice + 1 AS o_totalprice), 20, false FROM orders WHERE o_orderkey % 5 = 0
+  UNION ALL SELECT *, 30, true FROM orders WHERE o_orderkey % 7 = 0),
 seen AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY ts DESC) AS rn FROM log WHERE ts <= {ts})
-SELECT o_orderkey, o_totalprice FROM seen WHERE rn = 1 AND NOT del"""
+SELECT * EXCLUDE (ts, del, rn) FROM seen WHERE rn = 1 AND NOT del"""
 
 
 def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    base = orders(spark, sf_dir)
     log = versions(base, "o_orderkey", 10).unionByName(versions(base.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1), "o_orderkey", 20))
     return log.unionByName(tombstones(base.where("o_orderkey % 7 = 0").select("o_orderkey"), log, "o_orderkey", 30))
 
@@ -257,15 +258,15 @@ def snapshot_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "txn_overlay",
-    """SELECT o_orderkey, CASE WHEN o_orderkey % 100 = 1 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice
-FROM orders WHERE o_orderkey % 100 <> 2 UNION ALL SELECT -1, 77.5""",
+    """SELECT * REPLACE (CASE WHEN o_orderkey % 100 = 1 THEN o_totalprice + 5 ELSE o_totalprice END AS o_totalprice)
+FROM orders WHERE o_orderkey % 100 <> 2 UNION ALL SELECT -1, NULL, NULL, 77.5, NULL, NULL""",
 )
 def txn_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot under an open transaction's update, delete and fresh insert."""
-    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    base = orders(spark, sf_dir)
     buffer = versions(base.where("o_orderkey % 100 = 1").withColumn("o_totalprice", F.col("o_totalprice") + 5), "o_orderkey", 1)
     buffer = buffer.unionByName(versions(base.where("o_orderkey % 100 = 2"), "o_orderkey", 2, deleted=True))
-    buffer = buffer.unionByName(versions(spark.sql("SELECT -1L AS o_orderkey, 77.5D AS o_totalprice"), "o_orderkey", 3))
+    buffer = buffer.unionByName(versions(spark.sql("SELECT -1L AS o_orderkey, 77.5D AS o_totalprice"), "o_orderkey", 3), allowMissingColumns=True).select(*buffer.columns)
     return overlay(versions(base, "o_orderkey", 0), latest(buffer)).select(*base.columns)
 
 
@@ -298,7 +299,7 @@ def txn_rollback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "txn_commit",
-    "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 3 THEN o_totalprice + 10 WHEN o_orderkey = 4 THEN o_totalprice - 10 ELSE o_totalprice END AS o_totalprice, o_orderpriority FROM orders WHERE o_orderkey <> 5",
+    "SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey = 3 THEN o_totalprice + 10 WHEN o_orderkey = 4 THEN o_totalprice - 10 ELSE o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority FROM orders WHERE o_orderkey <> 5",
 )
 def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two updates and a delete in one transaction over sharded files; a second one that read a changed key is refused."""
@@ -318,19 +319,19 @@ def txn_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "session_script",
-    """SELECT o_orderkey, o_custkey, o_totalprice FROM (
-SELECT o_orderkey, CASE WHEN o_orderkey = 8 THEN 999 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey = 8 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey <> 9
-UNION ALL SELECT 100000007, 1, 5.5) WHERE o_totalprice < 50000::DOUBLE""",
+    """SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM (
+SELECT o_orderkey, CASE WHEN o_orderkey = 8 THEN 999 ELSE o_custkey END AS o_custkey, CASE WHEN o_orderkey = 8 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice, o_orderdate FROM orders WHERE o_orderkey <> 9
+UNION ALL SELECT 100000007, 1, 5.5, TIMESTAMP '1998-02-03 04:05:06') WHERE o_totalprice < 50000::DOUBLE""",
 )
 def session_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements as text, in and outside a transaction, and a lazy SELECT of what they leave."""
     session = Session(order_store(spark, sf_dir))
     session.execute(
         """BEGIN; UPDATE orders SET o_custkey = 999, o_totalprice = o_totalprice + 1 WHERE o_orderkey = 8; DELETE FROM orders WHERE o_orderkey = 9; COMMIT;
-        INSERT INTO orders (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority) VALUES (100000007, 1, 'O', 5.5, 'it''s;low');
+        INSERT INTO orders (o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority) VALUES (100000007, 1, 'O', 5.5, '1998-02-03 04:05:06', 'it''s;low');
         BEGIN; DELETE FROM orders WHERE o_orderkey = 10; ROLLBACK"""
     )
-    return session.query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice < 50000.0")
+    return session.query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate FROM orders WHERE o_totalprice < 50000.0")
 
 
 @query(
@@ -349,20 +350,107 @@ def session_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session.query("SELECT o_orderkey, o_orderstatus FROM orders")
 
 
+@query(
+    "txn_two_tables",
+    """SELECT 'orders' AS name, o_orderkey AS key, o_totalprice - 25 AS value FROM orders WHERE o_orderkey IN (11, 12)
+UNION ALL SELECT 'customer', c_custkey, c_acctbal + 50 FROM customer WHERE c_custkey = 3
+UNION ALL SELECT 'rows', 0, CAST((SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) AS DOUBLE)""",
+)
+def txn_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One commit over two tables, seen whole by a reader that opens the store anew."""
+    store = order_store(spark, sf_dir)
+    customers = table(spark, sf_dir, "customer")
+    store.create_table(TableDef.from_schema("customer", customers.schema, "c_custkey"))
+    store.bulk_load("customer", customers)
+    t = Transaction.begin(store)
+    t.update("orders", {"o_totalprice": F.col("o_totalprice") - 25}, F.col("o_orderkey").isin(11, 12))
+    t.update("customer", {"c_acctbal": F.col("c_acctbal") + 50}, key=3)
+    t.commit()
+    again = Store(spark, store.root)
+    one, other = again.read("orders"), again.read("customer")
+    changed = one.where("o_orderkey IN (11, 12)").selectExpr("'orders' AS name", "o_orderkey AS key", "o_totalprice AS value")
+    changed = changed.unionByName(other.where("c_custkey = 3").selectExpr("'customer' AS name", "c_custkey AS key", "c_acctbal AS value"))
+    whole = one.selectExpr("1 AS x").unionByName(other.selectExpr("1 AS x")).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    return changed.unionByName(whole.selectExpr("'rows' AS name", "0L AS key", "value"))
+
+
+@query("session_create", "SELECT * FROM (VALUES (1, 'it''s', 2.5::DOUBLE, 10000000000::BIGINT), (2, 'b', -0.5::DOUBLE, 7::BIGINT)) t(id, name, price, big)")
+def session_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table declared and filled by text; one made inside a transaction goes with its rollback."""
+    session = Session(Store(spark, scratch_folder(spark, "store")))
+    session.execute(
+        """CREATE TABLE items (id INT PRIMARY KEY, name VARCHAR(20), price FLOAT, big BIGINT);
+        BEGIN; CREATE TABLE gone (id INT PRIMARY KEY); INSERT INTO gone (id) VALUES (1); ROLLBACK;
+        CREATE TABLE gone (id INT PRIMARY KEY);
+        INSERT INTO items (id, name, price, big) VALUES (1, 'it''s', 2.5, 10000000000);
+        INSERT INTO items (id, name, price, big) VALUES (2, 'a', 0.5, 6); INSERT INTO items (id, name, price, big) VALUES (2, 'b', -0.5, 7)"""
+    )
+    return session.query("SELECT * FROM items")
+
+
+@query("session_describe", "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_totalprice', 'double'), (2, 'o_orderdate', 'timestamp_ntz'), (3, 'c_name', 'string')) t(position, name, type)")
+def session_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a prepared join, known without running it."""
+    store = order_store(spark, sf_dir)
+    store.create_table(TableDef.from_schema("customer", table(spark, sf_dir, "customer").schema, "c_custkey"))
+    session = Session(store)
+    session.prepare("q", "SELECT o_orderkey, o_totalprice, o_orderdate, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey = $1")
+    rows = [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(session.describe("q"))]
+    return spark.createDataFrame(rows, "position int, name string, type string")
+
+
+@query(
+    "session_states",
+    """SELECT * FROM (VALUES (0, 'I', '42601'), (1, 'T', 'BEGIN'), (2, 'T', 'INSERT 0 1'), (3, 'E', 'XX000'), (4, 'E', '25P02'), (5, 'E', '25P02'), (6, 'I', 'ROLLBACK'), (7, 'I', 'SELECT 0'),
+(8, 'I', 'XX000'), (9, 'T', 'BEGIN'), (10, 'T', 'UPDATE 0'), (11, 'I', 'COMMIT')) t(step, status, outcome)""",
+)
+def session_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each statement's tag or SQLSTATE and the status that follows: errors outside and inside a transaction, and the way out."""
+    session = Session(Store(spark, scratch_folder(spark, "store")))
+    session.execute("CREATE TABLE t (id INT PRIMARY KEY, v INT)")
+    script = ["SELEC 1", "BEGIN", "INSERT INTO t (id, v) VALUES (1, 1)", "SELECT nope FROM t", "SELECT * FROM t", "COMMIT", "ROLLBACK", "SELECT * FROM t", "COMMIT", "BEGIN", "UPDATE t SET v = v + 1 WHERE id = 1", "COMMIT"]
+    rows = []
+    for step, sql in enumerate(script):
+        try:
+            outcome = session.execute(sql)[0].tag
+        except SessionError as e:
+            outcome = e.sqlstate
+        rows.append((step, session.status, outcome))
+    return spark.createDataFrame(rows, "step int, status string, outcome string")
+
+
 # routing, workload tables and figures
 
 
-@query("workload_run", "SELECT * FROM (VALUES ('customer', 110002, -109.0::DOUBLE), ('district', 11, 30100.0::DOUBLE), ('orders_of_district', 11, 2.0::DOUBLE), ('warehouse', 1, 300200.0::DOUBLE)) t(name, key, value)")
+@query(
+    "workload_run",
+    """SELECT * FROM (VALUES ('balance', 210.0::DOUBLE, 20::BIGINT), ('district', 30100.0::DOUBLE, 1::BIGINT), ('next_order', 2.0::DOUBLE, 1::BIGINT), ('warehouse', 300200.0::DOUBLE, 1::BIGINT)) t(name, value, n)""",
+)
 def workload_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five order-entry transactions, once each with amount 100, and what they changed."""
-    store, scale = Store(spark, scratch_folder(spark, "workload")), Scale(1, 2, 3, 4)
+    """The five order-entry transactions at the usual scale, once each with amount 100: what they left in the tables.
+
+    ``balance`` sums what customers 5 to 14 of a district have beyond a payment, over the districts of both warehouses.
+    """
+    store, scale = Store(spark, scratch_folder(spark, "workload")), Scale()
     workload.load(store, scale)
+    choice = workload.Choice(1, 1, 6, 3, 100.0, tuple(range(5, 15)))
     for kind in workload.RUNS:
-        if not workload.run_one(store, kind, workload.Choice(1, 1, 2, 3, 100.0), scale):
+        if not workload.run_one(store, kind, choice, scale):
             raise AssertionError(f"{kind} did not commit")
-    row = lambda name, table, key, at, value: point(store.read(table), key, at).select(F.lit(name).alias("name"), F.lit(at).alias("key"), F.col(value).cast("double").alias("value"))
-    parts = [row("customer", "customer", "c_id", 110002, "c_balance"), row("district", "district", "d_id", 11, "d_ytd"), row("orders_of_district", "district", "d_id", 11, "d_next_o_id"), row("warehouse", "warehouse", "w_id", 1, "w_ytd")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    total = lambda name, rows, value: rows.agg(F.lit(name).alias("name"), F.sum(value).cast("double").alias("value"), F.count(F.lit(1)).alias("n"))
+    balances = store.read("customer").where("c_id % 10000 - c_d_id = 5").select((F.col("c_balance") + 20.0 + F.when(F.col("c_id") == 110006, 100.0).otherwise(0.0)).alias("b"))
+    district, house = point(store.read("district"), "d_id", 11), point(store.read("warehouse"), "w_id", 1)
+    parts = [total("balance", balances, "b"), total("district", district, "d_ytd"), total("next_order", district, "d_next_o_id"), total("warehouse", house, "w_ytd")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("workload_mix", "SELECT * FROM (VALUES ('new_order', 3, 3), ('payment', 5, 5)) t(kind, runs, committed)")
+def workload_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions drawn by the standard mix from a fixed seed, and how many of each kind committed."""
+    store, scale = Store(spark, scratch_folder(spark, "workload")), Scale(1, 2, 3, 4)
+    workload.load(store, scale)
+    report = workload.run_mix(store, 8, seed=1, scale=scale)
+    return spark.createDataFrame([(kind, len(taken), report.committed.get(kind, 0)) for kind, taken in report.latencies.items()], "kind string, runs int, committed int")
 
 
 @query(
@@ -380,13 +468,21 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("format_pk", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS pk FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", padded_key(F.col("o_orderkey")).alias("pk")))
 
 
-@query("workload_tables", "SELECT * FROM (VALUES ('warehouse', 2), ('district', 20), ('customer', 2000), ('orders', 2000), ('order_line', 2000), ('stock', 2000)) t(name, n)")
+WORKLOAD_SQL = """WITH w AS (SELECT unnest(generate_series(1, 2)) AS w), d AS (SELECT w, unnest(generate_series(0, 9)) AS d FROM w), c AS (SELECT w, d, unnest(generate_series(1, 100)) AS c FROM d),
+i AS (SELECT w, unnest(generate_series(1, 1000)) AS i FROM w)
+SELECT 'warehouse' AS name, w AS key, concat_ws('|', 'WH-' || w, 300000.0) AS rest FROM w
+UNION ALL SELECT 'district', w * 10 + d, concat_ws('|', w, 'DIST-' || w || '-' || d, 1, 30000.0) FROM d
+UNION ALL SELECT 'customer', w * 100000 + d * 10000 + c, concat_ws('|', d, w, 'CUST-' || c, -10.0) FROM c
+UNION ALL SELECT 'orders', w * 100000000 + d * 1000000 + c, concat_ws('|', d, w, c, 0) FROM c
+UNION ALL SELECT 'order_line', w * 100000000 + d * 1000000 + c, concat_ws('|', w * 100000000 + d * 1000000 + c, c % 1000 + 1, 5, 10.0) FROM c
+UNION ALL SELECT 'stock', w * 10000 + i, concat_ws('|', w, i, 100) FROM i"""
+
+
+@query("workload_tables", WORKLOAD_SQL)
 def workload_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).cast("int").alias("n")) for name, df in order_entry(spark).items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every row of the six tables: its key and its other columns."""
+    parts = [df.select(F.lit(name).alias("name"), F.col(df.columns[0]).cast("long").alias("key"), F.concat_ws("|", *df.columns[1:]).alias("rest")) for name, df in order_entry(spark).items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def event_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,14 +494,44 @@ query(
     """SELECT account, sum(delta)::BIGINT AS delta FROM (
 SELECT CAST(user_id AS VARCHAR) AS account, -(event_id % 5 + 1) AS delta FROM events UNION ALL SELECT CAST(user_id + 1 AS VARCHAR), event_id % 5 + 1 FROM events) GROUP BY account""",
 )(lambda s, d: deltas(event_transfers(s, d)))
-query("bank_conservation", "SELECT 0::BIGINT AS total")(lambda s, d: deltas(event_transfers(s, d)).agg(F.sum("delta").alias("total")))
-@query("bank_check", "SELECT count(*) > 10 AS ok FROM events")
+BANK_SQL = """touched AS (SELECT CAST(user_id AS VARCHAR) AS account FROM events UNION SELECT CAST(user_id + 1 AS VARCHAR) FROM events),
+deltas AS (SELECT user_id AS account, -(event_id % 5 + 1) AS delta FROM events UNION ALL SELECT user_id + 1, event_id % 5 + 1 FROM events),
+sums AS (SELECT accounts, accounts * 1000 + 1000 * (SELECT count(*) FROM touched WHERE CAST(account AS BIGINT) >= accounts) + (SELECT sum(delta) FROM deltas) AS total FROM (VALUES (5), (100), (5000)) t(accounts))"""
+
+
+@query("bank_conservation", f"WITH {BANK_SQL} SELECT CAST(accounts AS INTEGER) AS accounts, CAST(total AS BIGINT) AS total, CAST(accounts * 1000 AS BIGINT) AS expected FROM sums")
+def bank_conservation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All balances against what the declared accounts began with, for too few declared accounts and for enough."""
+    moves = event_transfers(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [bank_totals(moves, n, 1000).select(F.lit(n).alias("accounts"), "total", "expected") for n in (5, 100, 5000)])
+
+
+@query("bank_check", f"WITH {BANK_SQL} SELECT CAST(accounts AS INTEGER) AS accounts, total = accounts * 1000 AS ok FROM sums")
 def bank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on a history of transfers: nobody pays oneself and money is conserved."""
+    """The verdict on a history of transfers, read from its JSON lines; it is refused where a transfer touches an account that was not declared."""
     value = F.array("src", "dst", F.col("amount").cast("string"))
     history = event_transfers(spark, sf_dir).select(F.lit(0).cast("long").alias("time_us"), F.lit(0).alias("process"), F.lit("ok").alias("type"), F.lit("transfer").alias("f"), value.alias("value"))
-    ok, _ = check_bank(history, 1000, 1000)
-    return spark.range(1).select(F.lit(ok).alias("ok"))
+    path = scratch_folder(spark, "history")
+    history.write.json(path)
+    written = read_history(spark, path)
+    return spark.createDataFrame([(n, check_bank(written, n, 1000).ok) for n in (5, 100, 5000)], "accounts int, ok boolean")
+
+
+@query(
+    "register_check",
+    """WITH ops AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'write' ELSE 'read' END AS f, CAST(user_id AS VARCHAR) AS register, CAST(CASE WHEN event_id % 3 = 0 THEN event_id % 4 ELSE event_id % 5 END AS VARCHAR) AS value FROM events),
+vals AS (SELECT register, value, max(CASE WHEN f = 'write' THEN 1 ELSE 0 END) AS written FROM ops GROUP BY register, value)
+SELECT register, CAST(sum(1 - written) AS BIGINT) AS unwritten FROM vals GROUP BY register HAVING sum(1 - written) > 1""",
+)
+def register_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Registers whose reads and writes, made up from events, fit no serial order."""
+    e = table(spark, sf_dir, "events")
+    wrote = F.col("event_id") % 3 == 0
+    value = F.when(wrote, F.col("event_id") % 4).otherwise(F.col("event_id") % 5).cast("string")
+    history = e.select(
+        F.col("event_id").alias("time_us"), F.lit(0).alias("process"), F.lit("ok").alias("type"), F.when(wrote, "write").otherwise("read").alias("f"), F.array(F.col("user_id").cast("string"), value).alias("value")
+    )
+    return register_faults(history)
 
 
 query("self_transfers", "SELECT CAST(user_id AS VARCHAR) AS src, CAST(user_id AS VARCHAR) AS dst, event_id % 5 + 1 AS amount FROM events WHERE user_id % 2 = 0")(

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from enum import Enum
+from functools import cached_property
 
 from pyspark.sql.types import DataType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -13,6 +15,8 @@ class SchemaError(ValueError):
 
 
 class ColumnType(Enum):
+    """Types that CREATE TABLE names; tables made from a schema may have any other type too."""
+
     INT = "INT"
     BIGINT = "BIGINT"
     FLOAT = "FLOAT"
@@ -23,17 +27,32 @@ class ColumnType(Enum):
         return {"INT": IntegerType(), "BIGINT": LongType(), "FLOAT": DoubleType(), "VARCHAR": StringType()}[self.value]
 
     @staticmethod
-    def of(kind: DataType) -> ColumnType:
+    def of(kind: DataType) -> ColumnType | OtherType:
         for one in ColumnType:
             if one.spark == kind:
                 return one
-        raise SchemaError(f"no column type for {kind.simpleString()}")
+        return OtherType(kind.json())
+
+    @staticmethod
+    def named(value: str) -> ColumnType | OtherType:
+        return ColumnType(value) if value in ColumnType.__members__ else OtherType(value)
+
+
+@dataclass(frozen=True)
+class OtherType:
+    """Any other Spark type, passed through as it is; ``value`` is its JSON."""
+
+    value: str
+
+    @cached_property
+    def spark(self) -> DataType:
+        return StructType.fromJson({"type": "struct", "fields": [{"name": "v", "type": json.loads(self.value), "nullable": True, "metadata": {}}]})["v"].dataType
 
 
 @dataclass(frozen=True)
 class ColumnDef:
     name: str
-    type: ColumnType
+    type: ColumnType | OtherType
 
 
 @dataclass(frozen=True)
@@ -72,7 +91,7 @@ class TableDef:
 
     @staticmethod
     def from_dict(d: dict) -> TableDef:
-        return TableDef(d["name"], tuple(ColumnDef(n, ColumnType(t)) for n, t in d["columns"]), d["primary_key"], d["table_id"], d["shards"])
+        return TableDef(d["name"], tuple(ColumnDef(n, ColumnType.named(t)) for n, t in d["columns"]), d["primary_key"], d["table_id"], d["shards"])
 
     @staticmethod
     def from_schema(name: str, schema: StructType, primary_key: str, shards: int = 1) -> TableDef:

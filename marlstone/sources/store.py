@@ -8,7 +8,10 @@ clock and the table definitions. One process or several may write: whoever finds
 its manifest's name taken checks its reads again and tries the next.
 
 Each table has base files (one version a key, written by a bulk load or by
-``compact``) and newer versions on top. A read joins the two on the key.
+``compact``) and newer versions on top. A read joins the two on the key. When more
+than ``MOST_DELTAS`` commits lie on a table, their files are written again as one
+folder that keeps every version, so a read lists a bounded number of folders and
+earlier snapshots stay readable.
 """
 
 from __future__ import annotations
@@ -26,6 +29,11 @@ from marlstone.sources.catalog import Catalog, TableDef
 from marlstone.sources.versions import META, latest, overlay, versions
 
 
+#: Folders of newer versions that a table has at most after a commit.
+MOST_DELTAS = 16
+MERGED_FILES = 64
+
+
 class ManifestTaken(RuntimeError):
     """Another writer has added this manifest."""
 
@@ -34,7 +42,7 @@ class ManifestTaken(RuntimeError):
 class Files:
     base: list[str] = field(default_factory=list)
     base_ts: int = 0
-    #: [path, commit timestamp], oldest first
+    #: [path, last commit timestamp, first commit timestamp], oldest first
     deltas: list[list] = field(default_factory=list)
 
 
@@ -200,7 +208,7 @@ class Store:
         if ts < files.base_ts:
             raise ValueError(f"versions of {name} before {files.base_ts} were compacted away")
         base = self.read_files(table, files.base, key)
-        newer = [p for p, at in files.deltas if at <= ts]
+        newer = [p for p, _, first in files.deltas if first <= ts]
         delta = self.read_files(table, newer, key)
         if key is not None:
             base, delta = base.where(F.col("_pk") == key), delta.where(F.col("_pk") == key)
@@ -214,7 +222,7 @@ class Store:
 
     def changed_since(self, name: str, manifest: Manifest, ts: int) -> DataFrame | None:
         """Keys of versions later than ``ts``; None if there are none."""
-        paths = [p for p, at in manifest.files[name].deltas if at > ts]
+        paths = [p for p, last, _ in manifest.files[name].deltas if last > ts]
         if not paths and manifest.files[name].base_ts <= ts:
             return None
         base = manifest.files[name].base if manifest.files[name].base_ts > ts else []
@@ -226,9 +234,25 @@ class Store:
             manifest = self.manifest()
             table, files = manifest.catalog.get(name), manifest.files[name]
             path = self.write_files(table, self.snapshot_log(name, manifest))
-            manifest.files[name] = Files([path], max([files.base_ts, *(at for _, at in files.deltas)]), [])
+            manifest.files[name] = Files([path], max([files.base_ts, *(last for _, last, _ in files.deltas)]), [])
             try:
                 self.publish(manifest)
                 return
             except ManifestTaken:
                 continue
+
+    def merge_deltas(self, name: str, most: int = MOST_DELTAS) -> bool:
+        """Write the versions of all newer folders as one, if there are more than ``most``. Snapshots read as before; the old folders stay for readers that began earlier."""
+        while True:
+            manifest = self.manifest()
+            deltas = manifest.files[name].deltas
+            if len(deltas) <= most:
+                return False
+            table = manifest.catalog.get(name)
+            path = self.write_files(table, self.read_files(table, [p for p, _, _ in deltas]).coalesce(MERGED_FILES))
+            manifest.files[name].deltas = [[path, max(last for _, last, _ in deltas), min(first for _, _, first in deltas)]]
+            try:
+                self.publish(manifest)
+                return True
+            except ManifestTaken:
+                continue

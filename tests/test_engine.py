@@ -1,14 +1,16 @@
 """The store's operators: scans, filters, joins, order, aggregates, versions, transactions, sessions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from marlstone.functions.predicates import Comparison, Predicate, condition, leading_number
 from marlstone.functions.routing import shard_of, shard_of_key
-from marlstone.functions.statistics import exact_percentiles, six_decimals, success_rate
+from marlstone.functions.statistics import exact_percentiles, padded_key, six_decimals, success_rate, unpadded_key
 from marlstone.operators import workload
 from marlstone.operators.aggregates import Aggregate
-from marlstone.operators.history import check_bank, check_registers
+from marlstone.operators.history import check_bank, check_history, check_registers
 from marlstone.operators.joins import inner_join
 from marlstone.operators.select import Join, Select, run
 from marlstone.operators.transactions import Conflict, Transaction
@@ -208,6 +210,16 @@ def test_figures(spark):
     want = sorted(v for v in values if v is not None)
     row = exact_percentiles(df, "g", "v", {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}).first()
     assert (row["p0"], row["p50"], row["p99"], row["p100"]) == (want[0], want[3], want[5], want[5])
+    rng = random.Random(8)
+    rows = [(g, float(rng.choice([rng.randrange(6), rng.gauss(0, 9)]))) for g, n in (("a", 1), ("b", 17), ("c", 3000)) for _ in range(n)] + [("only nulls", None), (None, 2.0)]
+    shares = {f"q{i}": q for i, q in enumerate((0.0, 0.001, 0.25, 0.5, 0.95, 0.999, 1.0))}
+    for accuracy in (10, 100, 10_000):
+        got = {r["g"]: tuple(r[1:]) for r in exact_percentiles(spark.createDataFrame(rows, "g string, v double"), "g", "v", shares, accuracy).collect()}
+        for g in {x for x, v in rows if v is not None}:
+            v = sorted(x for k, x in rows if k == g)
+            assert got.pop(g) == tuple(v[min(len(v) - 1, int(q * len(v)))] for q in shares.values()), (g, accuracy)
+        assert not got
+    assert spark.range(1).select(unpadded_key(padded_key(F.lit(42)))).first() == (42,)
     assert spark.range(1).select(success_rate(F.lit(0), F.lit(0)), success_rate(F.lit(3), F.lit(1)), six_decimals(F.lit(1.5))).first() == (0.0, 75.0, "1.500000")
 
 
@@ -295,6 +307,47 @@ def test_unlisted_files_are_ignored_and_manifests_exclusive(store, spark):
         folder.add(folder.manifests()[-1], Manifest().to_json())
 
 
+def test_other_types_pass_through(store, spark):
+    rows = spark.sql("SELECT 1 AS k, TIMESTAMP_NTZ '2024-01-02 03:04:05' AS t, DATE '2024-01-02' AS d, array(1, 2) AS a, CAST(1.50 AS DECIMAL(9, 2)) AS m")
+    store.create_table(TableDef.from_schema("w", rows.schema, "k"))
+    store.bulk_load("w", rows)
+    again = Store(spark, store.root)
+    t = Transaction.begin(again)
+    t.insert("w", {"k": 2, "t": "2025-01-01 00:00:00", "d": None, "a": [3], "m": 2})
+    t.commit()
+    assert again.read("w").schema.simpleString() == rows.schema.simpleString()
+    assert [tuple(r)[0] for r in again.read("w").orderBy("k").collect()] == [1, 2] and again.read("w").where("t > '2024-12-31' AND a[0] = 3").count() == 1
+
+
+def test_deltas_stay_few_and_snapshots_readable(store, monkeypatch):
+    from marlstone.sources import store as stores
+
+    kv(store)
+    begin = Transaction.begin(store)
+    begin.get("kv", "1").count()
+    stamps = []
+    for i in range(4):
+        t = Transaction.begin(store)
+        t.insert("kv", {"k": "n", "v": str(i)})
+        stamps.append(t.commit())
+    assert store.merge_deltas("kv", most=2) and len(store.manifest().files["kv"].deltas) == 1
+    assert [content(store.read("kv", as_of=ts))["n"] for ts in stamps] == ["0", "1", "2", "3"] and "n" not in content(store.read("kv", as_of=stamps[0] - 1))
+    begin.insert("kv", {"k": "1", "v": "mine"})
+    begin.commit()  # key 1 has not changed, which the merged files still show
+    assert not store.merge_deltas("kv", most=2)
+
+
+def test_many_inserts_are_one_table(store):
+    kv(store)
+    t = Transaction.begin(store)
+    for i in range(300):
+        t.insert("kv", {"k": f"x{i % 200}", "v": str(i)})
+    t.delete("kv", key="x5")
+    t.insert("kv", {"k": "x5", "v": "last"})
+    got = content(t.scan("kv"))
+    assert len(got) == 202 and got["x5"] == "last" and got["x7"] == "207" and got["x150"] == "150"
+
+
 def test_loads_refuse_bad_keys(store, spark):
     store.create_table(TableDef("w", (ColumnDef("id", ColumnType.INT),), "id"))
     for rows in ([(1,), (1,)], [(None,)]):
@@ -356,6 +409,32 @@ def test_failed_transactions(session):
         assert e.value.sqlstate == "XX000"
 
 
+def test_tables_made_in_a_transaction(session):
+    session.execute("BEGIN; CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t (id) VALUES (1)")
+    other = Session(session.store)
+    with pytest.raises(SessionError):
+        other.execute("SELECT * FROM t")
+    session.execute("ROLLBACK")
+    with pytest.raises(SessionError):
+        session.execute("SELECT * FROM t")
+    session.execute("BEGIN; CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t (id) VALUES (2); COMMIT")
+    assert ids(other.execute("SELECT * FROM t")[0]) == [(2,)]
+    session.execute("BEGIN; CREATE TABLE u (id INT PRIMARY KEY)")
+    other.execute("CREATE TABLE u (id INT PRIMARY KEY)")
+    with pytest.raises(SessionError) as e:
+        session.execute("COMMIT")
+    assert e.value.sqlstate == "40001"
+
+
+def test_large_results_are_refused(session):
+    session.execute("CREATE TABLE t (id INT PRIMARY KEY); INSERT INTO t (id) VALUES (1); INSERT INTO t (id) VALUES (2)")
+    session.most_rows = 1
+    with pytest.raises(SessionError) as e:
+        session.execute("SELECT * FROM t")
+    assert e.value.sqlstate == "54000" and session.query("SELECT * FROM t").count() == 2
+    assert session.execute("SELECT * FROM t LIMIT 1")[0].tag == "SELECT 1"
+
+
 def test_updates_are_simultaneous(session):
     session.execute("CREATE TABLE t (id INT PRIMARY KEY, a INT, b INT); INSERT INTO t (id, a, b) VALUES (1, 10, 20)")
     session.execute("UPDATE t SET a = b + 1, b = a - 2 WHERE id = 1 AND a = 10")
@@ -396,7 +475,10 @@ def test_prepared(session):
 def test_generator(spark):
     got = {n: df.count() for n, df in order_entry(spark, Scale(1, 2, 3, 4)).items()}
     assert got == {"warehouse": 1, "district": 2, "customer": 6, "orders": 6, "order_line": 6, "stock": 4}
-    assert order_entry(spark, Scale())["orders"].agg(F.min("o_id"), F.max("o_id")).first() == (100000001, 209000100)
+    tables = order_entry(spark, Scale())
+    assert tables["orders"].agg(F.min("o_id"), F.max("o_id")).first() == (100000001, 209000100)
+    assert tables["customer"].where("c_id = 230007").first() == (230007, 3, 2, "CUST-7", -10.0)
+    assert tables["orders"].where("o_id = 203000007").first() == (203000007, 3, 2, 7, 0)
 
 
 def test_workload(store):
@@ -409,26 +491,66 @@ def test_workload(store):
     assert store.read("warehouse").first()["w_ytd"] == 300200.0
     assert store.read("customer").where("c_id = 110002").first()["c_balance"] == -109.0
     assert not workload.run_one(store, "order_status", workload.Choice(9, 0, 1, 1, 1.0), scale)
+    assert workload.run_one(store, "delivery", workload.Choice(1, 0, 1, 1, 1.0, (3, 1)), scale)
+    assert [store.read("customer").where(f"c_id = {k}").first()["c_balance"] for k in (100003, 110001, 100001)] == [-9.0, -9.0, -10.0]
+
+
+def test_mix(store):
+    scale = Scale(1, 2, 3, 4)
+    workload.load(store, scale)
+    report = workload.run_mix(store, 5, seed=3, scale=scale)
+    figures = report.figures()
+    assert sum(f["n"] for f in figures.values()) == 5 and set(figures) <= set(workload.MIX)
+    assert all(f["p50"] <= f["p95"] <= f["p99"] and 0 <= f["success"] <= 100 for f in figures.values())
+    drawn = workload.Choice.draw(random.Random(2), Scale())
+    assert len(drawn.deliveries) == 10 and drawn.customer_key(4) == drawn.warehouse * 100000 + 40000 + drawn.deliveries[4]
 
 
 def test_histories(spark):
     schema = "time_us long, process int, type string, f string, value array<string>"
     make = lambda *rows: spark.createDataFrame([(i, 0, *r) for i, r in enumerate(rows)], schema)
     pay = lambda a, b, n: ("ok", "transfer", [str(a), str(b), str(n)])
-    assert check_bank(make(pay(0, 1, 5), pay(1, 2, 3)), 12, 1000)[0]
-    assert not check_bank(make(pay(0, 1, 600), pay(0, 1, 600)), 12, 1000)[0]
-    assert not check_bank(make(pay(1, 1, 5)), 12, 1000)[0]
-    assert check_bank(make(*[pay(0, 1, 600)] * 11), 12, 1000)[0]
-    r, w = (lambda v: ("ok", "read", ["0", v])), (lambda v: ("ok", "write", ["0", v]))
-    assert check_registers(make(w("900"), r("900")))[0] and check_registers(make(r("1000"), w("900"), r("1000")))[0]
-    assert not check_registers(make(r("1"), r("2")))[0]
+    assert check_bank(make(pay(0, 1, 5), pay(1, 2, 3)), 12, 1000) == (True, "a serial order exists", True)
+    assert check_bank(make(pay(0, 1, 600), pay(0, 1, 600)), 12, 1000) == (False, "no serial order is free of overdrafts", True)
+    assert check_bank(make(pay(0, 1, 1500), pay(2, 0, 600)), 12, 1000).ok  # in the other order
+    assert not check_bank(make(pay(1, 1, 5)), 12, 1000).ok
+    assert check_bank(make(*[pay(0, 1, 600)] * 11), 12, 1000) == (True, "money is conserved", False)
+    # an account that was not declared brings money in, however many transfers there are
+    for n in (2, 12):
+        assert check_bank(make(*[pay(0, 99, 1)] * n), 5, 1000) == (False, "balances add up to 6000, not 5000", False)
+    assert not check_bank(make(*[pay(0, "x", 1)] * 12), 5, 1000).ok and not check_bank(make(*[pay(0, "01", 1)] * 12), 5, 1000).ok
+    r, w = (lambda v, k="0": ("ok", "read", [k, v])), (lambda v, k="0": ("ok", "write", [k, v]))
+    assert check_registers(make(w("900"), r("900"))).ok and check_registers(make(r("1000"), w("900"), r("1000"))).ok
+    assert not check_registers(make(r("1"), r("2"))).ok and check_registers(make(r("1"), r("2", "1"))).ok
+    assert not check_registers(make(("ok", "read", ["0"]))).ok
+    many = [w(str(i)) for i in range(6)] + [r(str(i)) for i in range(6)]
+    assert check_registers(make(*many, r("start"))).ok and not check_registers(make(*many, r("start"), r("other"))).ok
+    assert not check_history(make(("invoke", "read", ["0"])).where("false")).ok and check_history(make(*many, pay(0, 1, 5))).ok
+
+
+def test_register_check_is_exact(spark):
+    from itertools import permutations
+
+    schema = "time_us long, process int, type string, f string, value array<string>"
+    rng = random.Random(6)
+    for _ in range(6):
+        ops = [(rng.choice(["read", "write"]), rng.choice("ab"), rng.choice("12")) for _ in range(5)]
+        found = False
+        for order in permutations(ops):
+            state, fits = {}, True
+            for f, k, v in order:
+                fits &= f == "write" or state.get(k, v) == v
+                state[k] = v
+            found |= fits
+        rows = [(i, 0, "ok", f, [k, v]) for i, (f, k, v) in enumerate(ops)]
+        assert check_registers(spark.createDataFrame(rows, schema)).ok == found, ops
 
 
 def test_history_files(spark, tmp_path):
     from marlstone.operators.history import read_history
 
     (tmp_path / "h.jsonl").write_text('{"time_us": 1, "process": 0, "type": "ok", "f": "transfer", "value": ["0", "1", "600"]}\n' * 2)
-    assert check_bank(read_history(spark, str(tmp_path / "h.jsonl")), 12, 1000) == (False, "no serial order is free of overdrafts")
+    assert check_bank(read_history(spark, str(tmp_path / "h.jsonl")), 12, 1000) == (False, "no serial order is free of overdrafts", True)
 
 
 def test_streamed_versions(spark, tmp_path):
