@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from marlstone.llm.shared import settle
@@ -17,14 +17,15 @@ def components(edges: DataFrame) -> DataFrame:
     no harm; nodes without an edge to another node are not returned.
     """
     edges = settle(edges.select("a", "b").where("a <> b").distinct(), "links")
-    mark = None
+    before = None
     while True:
         edges = settle(star(edges, large=True), "links")
-        edges = settle(star(edges, large=False), "links")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        seen = Observation()  # of what is written anyway
+        mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
+        edges = settle(star(edges, large=False).observe(seen, *mark), "links")
+        if seen.get == before:
             break
-        mark = now
+        before = seen.get
     # every edge now points from a node to its root
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

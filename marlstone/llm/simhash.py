@@ -15,7 +15,9 @@ ids give one output row each. A null id is never the smallest of its component
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
 from marlstone.llm.shared import renamed, restored, settle
-from marlstone.llm.words import M1, mix, pieces, text_bytes
+from marlstone.llm.words import M1, find_words, mix, pieces, shingle_hashes, text_bytes
 
 SEED = 42
 #: Fingerprints in a block at least. Blocks grow with the input; there are about as many as give four tasks to a core.
@@ -38,7 +40,12 @@ PARTS = 8
 LEAST_OF_PART, MOST_OF_PART, PARTS_OF_GROUP = 1 << 15, 1 << 21, 16
 
 
-def shingle_hashes(text: bytes, size: int) -> list[int]:
+#: One in every byte.
+BYTES = np.uint64(0x0101010101010101)
+
+
+def standard_hashes(text: bytes, size: int) -> list[int]:
+    """XXH64 of every shingle: the hashes that fingerprints of ``near_duplicates`` are defined by."""
     words = text.split()
     if not words:
         return []
@@ -52,18 +59,46 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
 
 
-def fingerprint(hashes: np.ndarray, lanes: int) -> np.ndarray:
-    """``lanes`` 64-bit words; a bit is 1 if set in over half the shingle hashes. Lane 0 uses the hashes themselves."""
-    out = np.zeros(lanes, dtype=np.uint64)
-    if not len(hashes):
+def standard_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles text by text, and where texts begin."""
+    data, at = text_bytes(texts)
+    data = data.lower()
+    hashes = [standard_hashes(data[at[i] : at[i + 1]], size) for i in range(len(texts))]
+    first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
+    return np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=first[-1]), first
+
+
+def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The set of each text's shingles, ascending, and where sets begin."""
+    hashes, first = shingle_hashes(find_words(texts, lower=True), size)
+    sets = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        own = np.sort(hashes[a:b])
+        sets.append(own[np.concatenate([[True], own[1:] != own[:-1]])] if b > a else own)
+    return np.concatenate([hashes[:0], *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+
+
+def votes(hashes: np.ndarray, first: np.ndarray, lanes: int) -> np.ndarray:
+    """A row of ``lanes`` 64-bit words for each text; a bit is 1 if set in over half the shingle hashes. Lane 0 uses the hashes themselves.
+
+    Eight bit positions are counted at a time, one in each byte, over runs of 255 hashes.
+    """
+    sizes = np.diff(first)
+    out = np.zeros((len(sizes), lanes), dtype=np.uint64)
+    held = np.flatnonzero(sizes)
+    if not len(held):
         return out
+    runs = -(-sizes[held] // 255)
+    begin = np.cumsum(runs) - runs
+    at = np.repeat(first[held], runs) + 255 * (np.arange(runs.sum()) - np.repeat(begin, runs))
     for lane in range(lanes):
         h = hashes if lane == 0 else mix(hashes + np.uint64(int(M1) * lane % (1 << 64)))
-        counts = np.zeros(64, dtype=np.int64)
-        for i in range(0, len(h), 16384):
-            bits = np.unpackbits(h[i : i + 16384].astype(">u8").view(np.uint8)).reshape(-1, 64)
-            counts += bits.sum(axis=0, dtype=np.int32)
-        out[lane] = np.packbits(counts * 2 > len(h)).view(">u8")[0]
+        counts = np.empty((len(held), 8, 8), dtype=np.int64)
+        for k in range(8):
+            sums = np.add.reduceat((h >> np.uint64(k)) & BYTES, at)
+            counts[:, :, k] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), begin, axis=0, dtype=np.int64)
+        bits = counts.reshape(-1, 64) * 2 > sizes[held][:, None]
+        out[held, lane] = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
     return out
 
 
@@ -79,20 +114,15 @@ def fingerprints(df: DataFrame, text_col: str, size: int, lanes: int, keep: list
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "_text"):
-                data, at = text_bytes(batch.column(batch.schema.get_field_index("_text")))
-                data = data.lower()
-                found = np.zeros((batch.num_rows, lanes), dtype=np.uint64)
-                names, sizes = [], []
-                for i in range(batch.num_rows):
-                    hashes = np.array(shingle_hashes(data[at[i] : at[i + 1]], size), dtype=np.uint64)
-                    if sets:
-                        hashes = np.unique(hashes)
-                        names.append(xxhash.xxh3_128_digest(hashes.tobytes()))
-                        sizes.append(len(hashes))
-                    found[i] = fingerprint(hashes, lanes)
+                texts = batch.column(batch.schema.get_field_index("_text"))
+                hashes, first = distinct_shingles(texts, size) if sets else standard_shingles(texts, size)
+                found = votes(hashes, first, lanes)
                 ones = np.bitwise_count(found).sum(axis=1, dtype=np.int32)
                 prints = pa.array([row.tobytes() for row in found.astype(">u8")], type=pa.binary())
-                more = [pa.array(names, pa.binary()), pa.array(sizes, pa.int64())] if sets else []
+                more = []
+                if sets:
+                    names = [xxhash.xxh3_128_digest(hashes[a:b].tobytes()) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                    more = [pa.array(names, pa.binary()), pa.array(np.diff(first))]
                 yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [prints, pa.array(ones), *more], names=kept + added)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
@@ -158,36 +188,53 @@ def tiles_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return order, np.minimum.reduceat(parts, edges), np.maximum.reduceat(parts, edges), edges
 
 
+def most_of(seen: int, lanes: int, radius: int, screen: int) -> int:
+    """Differing bits that a pair may have in its first lanes: ``screen`` in two, ``radius`` in all, and between these as many deviations more than the mean."""
+    if seen >= lanes or lanes <= 2:
+        return radius
+    share = (seen - 2) / (lanes - 2)
+    mean = lambda n: radius * n / lanes
+    return math.ceil(mean(seen) + (1 - share) * max(0.0, screen - mean(2)) * math.sqrt(seen / 2))
+
+
 def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int, screen: int) -> np.ndarray:
     """Labels over the rows of ``left`` and then ``right`` (None: within ``left``).
 
-    Rows are linked if all their bits differ in ``radius`` at most and the first 128 in ``screen`` at most.
+    Rows are linked if all their bits differ in ``radius`` at most, the first 128 in ``screen`` at most and those between as ``most_of`` says.
     """
     a_order, a_low, a_high, a_at = tiles_of(left)
-    a = left[a_order]
+    a = np.ascontiguousarray(left[a_order].T)  # by lane, so that bits are compared side by side
     if right is None:
         b_order, b_low, b_high, b_at, b, base = a_order, a_low, a_high, a_at, a, 0
     else:
         b_order, b_low, b_high, b_at = tiles_of(right)
-        b, base = right[b_order], len(left)
+        b, base = np.ascontiguousarray(right[b_order].T), len(left)
     forest = Forest(len(left) + (0 if right is None else len(right)))
+    lanes = len(a)
+    apart, (count, more), screened = np.empty((TILE, TILE), dtype=np.uint64), np.empty((2, TILE, TILE), dtype=np.uint8), np.empty((TILE, TILE), dtype=bool)
     for i, ai in enumerate(a_at):
-        apart = np.maximum(0, np.maximum(a_low[i] - b_high, b_low - a_high[i]))
-        near = (apart[:, :PARTS].sum(axis=1) <= radius) & (apart[:, PARTS] <= radius)
-        rows = a[ai : ai + TILE]
+        gap = np.maximum(0, np.maximum(a_low[i] - b_high, b_low - a_high[i]))
+        near = (gap[:, :PARTS].sum(axis=1) <= radius) & (gap[:, PARTS] <= radius)
+        rows = a[:, ai : ai + TILE]
         for j in np.flatnonzero(near):
             if right is None and j < i:
                 continue
-            cols = b[b_at[j] : b_at[j] + TILE]
-            far = np.bitwise_count(rows[:, None, 0] ^ cols[None, :, 0])
-            if rows.shape[1] > 1:
-                far += np.bitwise_count(rows[:, None, 1] ^ cols[None, :, 1])
-            x, y = np.nonzero(far <= min(radius, screen))
-            for lane in range(2, rows.shape[1]):  # few pairs are left to look at
-                if lane == 2:
-                    total = far[x, y].astype(np.int32)
-                total += np.bitwise_count(rows[x, lane] ^ cols[y, lane])
-                x, y, total = x[total <= radius], y[total <= radius], total[total <= radius]
+            cols = b[:, b_at[j] : b_at[j] + TILE]
+            bits, far, hit, second = (x[: rows.shape[1], : cols.shape[1]] for x in (apart, count, screened, more))
+            np.bitwise_count(np.bitwise_xor(rows[0][:, None], cols[0], out=bits), out=far)
+            if lanes > 1:
+                np.bitwise_count(np.bitwise_xor(rows[1][:, None], cols[1], out=bits), out=second)
+                np.add(far, second, out=far)
+            if not np.less_equal(far, min(radius, screen), out=hit).any():
+                continue
+            x, y = np.divmod(np.flatnonzero(hit), cols.shape[1])
+            total = far[x, y].astype(np.int32)
+            for lane in range(2, lanes):  # few pairs are left to look at
+                total += np.bitwise_count(rows[lane][x] ^ cols[lane][y])
+                close = total <= most_of(lane + 1, lanes, radius, screen)
+                x, y, total = x[close], y[close], total[close]
+                if not len(x):
+                    break
             if len(x):
                 forest.link(a_order[ai + x], base + b_order[b_at[j] + y])
     return forest.parent
@@ -319,9 +366,8 @@ def verified(df: DataFrame, id_col: str, text_col: str, hash_col: str, candidate
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "_text"):
-                data, at = text_bytes(batch.column(3))
-                data = data.lower()
-                blobs = [np.unique(np.array(shingle_hashes(data[at[i] : at[i + 1]], shingle), dtype=np.uint64)).tobytes() for i in range(batch.num_rows)]
+                hashes, first = distinct_shingles(batch.column(3), shingle)
+                blobs = [hashes[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], names=["_set", "_group", "_parts", "_blob"])
 
     own = F.pmod(F.xxhash64("_set"), F.col("_parts"))
@@ -372,7 +418,9 @@ def deduplicate(
     candidates = settle(sets.join(roots, sets["_print"] == roots["node"], "left").select("_set", "_size", "_best", F.coalesce("root", "_print").alias("_group")), "candidates")
     linked = components(verified(marked, ident, text, "_text_hash", candidates, shingle, similarity))
     named = candidates.join(linked, candidates["_set"] == linked["node"], "left").select("_best", F.coalesce("root", "_set").alias("_of"))
-    chosen = settle(named.groupBy("_of").agg(F.min("_best").alias("best")).select(F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
-    here = marked.join(chosen, marked[ident].eqNullSafe(chosen["_i"]) & (marked["_text_hash"] == chosen["_h"]), "left_semi")
-    once = here.withColumn("_turn", F.expr(f"row_number() over (partition by {ident}, _text_hash order by _text_hash)"))
-    return restored(once.where("_turn = 1"), names)
+    chosen = settle(named.groupBy("_of").agg(F.min("_best").alias("best")).select(F.col("best.n").alias("_n"), F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
+    # equal rows meet as partial aggregates, and the join is on the same key: texts are dealt once
+    first = F.first(F.struct(*plain.columns)).alias("_row")
+    once = marked.groupBy(F.col(ident).isNull().alias("_null"), F.coalesce(F.col(ident), F.lit(0).cast(marked.schema[ident].dataType)).alias("_known"), "_text_hash").agg(first)
+    here = once.join(chosen, (once["_null"] == chosen["_n"]) & (once["_known"] == F.coalesce(chosen["_i"], F.lit(0).cast(marked.schema[ident].dataType))) & (once["_text_hash"] == chosen["_h"]), "left_semi")
+    return restored(here.select("_row.*"), names)

@@ -42,6 +42,10 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(mix(a + M1) * M1 + b)
 
 
+#: By word of a shingle: odd numbers.
+STEPS = [U64((2 * k + 1) * int(M1) % (1 << 64)) for k in range(64)]
+
+
 @dataclass
 class Words:
     """Words of some texts: bytes ``start[i]:end[i]`` of ``data`` are word ``i``; text ``t`` has words ``first[t]:first[t+1]``."""
@@ -117,7 +121,32 @@ def prefix_hashes(words: Words, size: int) -> np.ndarray:
     return mix((lanes[words.start] & KEEP[np.minimum(words.end - words.start, size)]) + U64(size))
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+#: Bytes of text that numpy works on at once: what is made for so many words stays in a core's cache.
+PIECE = 1 << 20
+
+
+def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every ``size`` consecutive words of a text (all words of a shorter one), text by text, and where texts begin."""
+    names, count = words.hashes(), np.diff(words.first)
+    n = len(names) - size + 1
+    whole = np.zeros(max(n, 0), dtype=U64)
+    for k in range(size if n > 0 else 0):
+        whole += names[k : k + n] * STEPS[k]
+    short = np.flatnonzero((count > 0) & (count < size))
+    sizes = np.where(count < size, np.minimum(count, 1), count - size + 1)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(words.first[:-1] - first[:-1], sizes) + np.arange(first[-1])
+    out = np.zeros(len(at), dtype=U64)
+    inside = np.ones(len(at), dtype=bool)
+    inside[first[short]] = False
+    out[inside] = whole[at[inside]]
+    for k in range(size - 1):
+        some = short[count[short] > k]
+        out[first[some]] += names[words.first[some] + k] * STEPS[k]
+    return mix(out), first
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of the batch of whole rows with about ``limit`` bytes of text each, to bound memory."""
     column_index = batch.schema.get_field_index(column)
     sizes = pc.binary_length(batch.column(column_index)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
