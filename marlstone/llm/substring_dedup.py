@@ -14,7 +14,8 @@ segment. A segment's key is the hash of the words that all its windows share
 around the symbol; windows with equal words have equal keys. Spark groups equal
 segments, which settles all windows of a segment that is the only one of its key.
 Where segments of one key differ, their windows are compared one by one by hash.
-Equality is thus decided on (key, hash) pairs of 128 bits.
+Equality of stretches is thus decided on pairs (key, hash) that are made from the
+64-bit names of words with different bases; words are told apart by these names.
 
 A window is dropped in all documents but those with the smallest id among the
 documents that hold it. Edge cases: null texts have no words; documents shorter
@@ -39,7 +40,7 @@ from marlstone.llm.words import M1, U64, Words, find_words, mix, pair, pieces, s
 
 #: The low bits of a value to minimise hold its position, so ties go to the leftmost.
 POSITION_BITS = U64(30)
-BASE = U64(0xD6E8FEB86659FD93)
+BASE, SECOND_BASE = U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)
 
 
 @dataclass(frozen=True)
@@ -99,31 +100,26 @@ def join(names: np.ndarray, at: np.ndarray, meets: np.ndarray, number: int) -> t
     return names[keep], at[keep]
 
 
-class Powers:
-    def __init__(self) -> None:
-        self.up = np.ones(1, dtype=np.uint64)
-        self.down = np.ones(1, dtype=np.uint64)
-
-    def grow(self, n: int) -> None:
-        if len(self.up) < n:
-            inverse = U64(pow(int(BASE), -1, 1 << 64))
-            self.up = np.cumprod(np.concatenate([self.up[:1], np.full(n, BASE)]))
-            self.down = np.cumprod(np.concatenate([self.down[:1], np.full(n, inverse)]))
-
-
-POWERS = Powers()
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """``base`` to the powers 0 to ``n - 1``."""
+    return np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(0, n - 1), base)]))
 
 
 class Sequences:
     """Hashes of any stretches of the words, from one prefix sum."""
 
-    def __init__(self, names: np.ndarray):
-        POWERS.grow(len(names) + 1)
+    def __init__(self, names: np.ndarray, base: np.uint64 = BASE):
+        self.down = powers(U64(pow(int(base), -1, 1 << 64)), len(names) + 1)
         self.sums = np.zeros(len(names) + 1, dtype=np.uint64)
-        np.cumsum(names * POWERS.up[: len(names)], out=self.sums[1:])
+        np.cumsum(names * powers(base, len(names)), out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * POWERS.down[start] + (end - start).astype(np.uint64) * M1)
+        return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * M1)
+
+
+def second_sequences(names: np.ndarray) -> Sequences:
+    """Other hashes than those of keys: of other names, with another base."""
+    return Sequences(mix(names ^ M1), SECOND_BASE)
 
 
 def text_of_words(words: Words) -> np.ndarray:
@@ -159,9 +155,8 @@ def segments(words: Words, shape: Shape) -> Segments:
     head = np.flatnonzero(new)
     count = np.diff(np.append(head, len(p)))
     start, symbol = p[head], chosen[head]
-    sequences = Sequences(names)
-    key = sequences.hash(symbol - shape.margin, symbol + shape.longest + shape.margin)
-    whole = sequences.hash(start, start + count + w - 1)
+    key = Sequences(names).hash(symbol - shape.margin, symbol + shape.longest + shape.margin)
+    whole = second_sequences(names).hash(start, start + count + w - 1)
     return Segments(text[start], start - words.first[text[start]], count, key, whole)
 
 
@@ -191,20 +186,21 @@ def repeats(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
                 )
 
     found = settle(texts.where("_id is not null").mapInArrow(find, f"_id {id_type}, _hash long, _start int, _windows int, _key long, _whole long"), "segments")
-    alike = settle(found.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")), "alike")
-    by_key = alike.groupBy("_key").agg(F.count(F.lit(1)).alias("_kinds"), F.min("_least").alias("_first"), F.max("_most").alias("_last"))
-    # a key seen in one document only repeats nothing
-    shared = settle(alike.join(by_key.where("_first < _last"), "_key").select("_key", "_whole", "_least", "_kinds"), "shared")
-    judged = settle(
-        found.join(shared, ["_key", "_whole"]).where("_kinds > 1 or _least < _id").select("_id", "_hash", "_start", "_windows", "_key", (F.col("_kinds") > 1).alias("_open")), "judged"
-    )
+    # a key seen in one document only repeats nothing; no more than key and id is dealt to find out
+    repeated = found.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select(F.col("_key").alias("_of"))
+    shared = settle(found.join(repeated, found["_key"] == repeated["_of"]).drop("_of"), "shared")
+    alike = shared.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"))
+    kinds = alike.groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("_open")).withColumnRenamed("_key", "_of")
+    least = settle(alike.join(kinds, alike["_key"] == kinds["_of"]).drop("_of"), "alike")
+    # repeated rows are judged once
+    judged = settle(shared.join(least, ["_key", "_whole"]).where("_open OR _least < _id").select("_id", "_hash", "_start", "_windows", "_key", "_open").distinct(), "judged")
     opened = judged.where("_open").groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_windows", "_key")).alias("_spans"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "_text"):
                 words = find_words(column(batch, "_text"))
-                sequences = Sequences(words.hashes())
+                sequences = second_sequences(words.hashes())
                 spans = column(batch, "_spans")
                 row = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
                 flat = spans.flatten()
@@ -222,7 +218,7 @@ def repeats(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     once = texts.where("_id is not null").join(opened, ["_id", "_hash"]).select("_id", "_hash", "_text", "_spans")
     single = settle(once.mapInArrow(compare, f"_id {id_type}, _hash long, _start int, _key long, _whole long"), "windows")
     least = settle(single.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").drop("_most"), "shared-windows")
-    later = single.join(least, ["_key", "_whole"]).where("_least < _id").select("_id", "_hash", "_start", F.lit(1).alias("_windows"))
+    later = single.join(least, ["_key", "_whole"]).where("_least < _id").select("_id", "_hash", "_start", F.lit(1).alias("_windows")).distinct()
     cuts = judged.where("not _open").select("_id", "_hash", "_start", "_windows").unionByName(later)
     return settle(cuts.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_windows")).alias("_cuts")), "cuts")
 
