@@ -13,12 +13,13 @@ fall into four runs of three, which the mask ``xxx_xxx`` finds. Items of fewer
 words have to be found whole; shorter runs are looked up where they need them.
 
 The benchmark goes to the tasks in pieces of at most ``piece_words`` words, one
-pass over the documents for each piece, so what is broadcast has a fixed bound
-and benchmarks of any size are searched whole.
+job over the documents for each piece, so what is broadcast has a fixed bound and
+benchmarks of any size are searched whole; texts with leaks are put together from
+the written results of the jobs.
 
 Words are lower-cased (A-Z) and stripped of ASCII punctuation. Edge cases: null
-texts have no words; items with fewer than ``least_words`` words can't be told
-from chance and are not searched; items with equal words are reported under their
+texts have no words; items with fewer than ``least_words`` words (by default: none)
+are left out, for users to whom an overlap of so few words is chance; items with equal words are reported under their
 smallest id; an item with a null id is searched and reported with id null if no
 equal item has an id. Documents are kept one for one.
 """
@@ -27,20 +28,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import renamed, restored
+from marlstone.llm.shared import clash_free, discard, renamed, restored, settle
 from marlstone.llm.words import M1, SPACE_OR_MARK, U64, Words, find_words, mix, pieces
 
 #: Positions that each mask looks at.
 MASKS = ((0,), (0, 1), (0, 1, 2), (0, 1, 2, 3), (0, 1, 2, 4, 5, 6))
 #: By mask: whether items of so many words need it.
 NEEDED = (lambda n: n == 1, lambda n: (n == 2) | (n == 5), lambda n: np.isin(n, (3, 6, 7, 10, 11)), lambda n: (n == 4) | (n >= 8), lambda n: n >= 15)
-LEAST_WORDS = 8
+LEAST_WORDS = 1
 OVERLAP_WORDS = 13
 SIMILARITY = 0.8
 PIECE_WORDS = 1 << 20
@@ -178,35 +181,45 @@ def benchmark_pieces(benchmark: DataFrame, id_col: str, text_col: str, piece_wor
         yield Index.of(ids, sequences)
 
 
+@clash_free
 def find_leaks(
     df: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None,
     overlap: int = OVERLAP_WORDS, similarity: float = SIMILARITY, piece_words: int = PIECE_WORDS, least_words: int = LEAST_WORDS,
 ) -> DataFrame:
     """``keep`` columns (default: all) of every row with ``_leaks``: item, first words in text and item, length and equal words."""
-    keep = list(keep if keep is not None else df.columns)
     kind = "array<struct<item_id:long,doc_start:int,item_start:int,length:int,matches:int>>"
-    carried = text_col if text_col in keep else "_text"
-    columns = [F.col(f"`{c}`") for c in keep] + ([] if text_col in keep else [F.col(f"`{text_col}`").alias("_text")])
-    rows = df.select(*columns, F.array().cast(kind).alias("_leaks"))
     spark, indexes = df.sparkSession, benchmark_pieces(benchmark, item_col, item_text, piece_words, least_words)
-    index = next(indexes, None)
-    while index is not None:
-        following = next(indexes, None)
-        names = keep if following is None else [c for c in rows.columns if c != "_leaks"]  # the last pass need not return the text
-        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
-        rows = rows.mapInArrow(searcher(spark.sparkContext.broadcast(index), carried, names, overlap, similarity), f"{fields}, _leaks {kind}")
-        index = following
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "_leaks")
-
-
-def searcher(shared, text: str, keep: list[str], overlap: int, similarity: float):
+    text = F.col(f"`{text_col}`")
+    first, second = next(indexes, None), next(indexes, None)
+    if first is None:
+        return df.select(*[F.col(f"`{c}`") for c in keep], F.array().cast(kind).alias("_leaks"))
+    if second is None:
+        rows = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("_text"))
+        fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+        return rows.mapInArrow(searcher(spark.sparkContext.broadcast(first), keep, overlap, similarity), (fields + ", " if fields else "") + f"_leaks {kind}")
+    # a benchmark of several pieces: one pass for each, of which only texts with leaks are kept, under 128 bits of hash
+    names = {"_one": F.xxhash64(text), "_other": F.xxhash64(F.lit(1), text)}
+    texts = df.select(*[c.alias(n) for n, c in names.items()], text.alias("_text"))
+    found = []
+    for index in chain([first, second], indexes):
+        shared = spark.sparkContext.broadcast(index)
+        found.append(settle(texts.mapInArrow(searcher(shared, list(names), overlap, similarity), f"_one long, _other long, _leaks {kind}").where(F.size("_leaks") > 0).distinct(), "leaks"))
+        shared.destroy()
+    each = reduce(DataFrame.unionByName, found).groupBy(F.col("_one").alias("_first"), F.col("_other").alias("_second")).agg(F.flatten(F.collect_list("_leaks")).alias("_found"))
+    each = settle(each, "leaks-of-texts")
+    discard(*found)
+    rows = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(n) for n, c in names.items()])
+    met = rows.join(each, (rows["_one"] == each["_first"]) & (rows["_other"] == each["_second"]), "left")
+    return met.select(*[F.col(f"`{c}`") for c in keep], F.coalesce("_found", F.array().cast(kind)).alias("_leaks"))
+
+
+def searcher(shared, keep: list[str], overlap: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces(whole, text):
+            for batch in pieces(whole, "_text"):
                 column = lambda name: batch.column(batch.schema.get_field_index(name))
-                found = leaks_of(find_words(column(text), lower=True, gaps=SPACE_OR_MARK), shared.value, overlap, similarity)
-                leaks = [a + b for a, b in zip(column("_leaks").to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*map(column, keep), pa.array(leaks, pa.list_(LEAK))], names=[*keep, "_leaks"])
+                found = leaks_of(find_words(column("_text"), lower=True, gaps=SPACE_OR_MARK), shared.value, overlap, similarity)
+                yield pa.RecordBatch.from_arrays([*map(column, keep), pa.array(found, pa.list_(LEAK))], names=[*keep, "_leaks"])
 
     return run
 
