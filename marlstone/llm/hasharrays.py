@@ -6,11 +6,13 @@ import os
 import struct
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import numpy as np
+import pyarrow as pa
 import zstandard
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.shared import shared_dir
 
@@ -78,11 +80,12 @@ class Gatherer:
 
 
 class Store:
-    """Files that the driver writes and every worker maps.
+    """Arrays in files that every worker maps, filled part by part in any order.
 
-    They lie in the shared folder where that is a mounted file system. Where it can
-    be reached through Spark only, the driver writes to a local folder and Spark
-    sends the files to each executor.
+    They lie in the shared folder where that is a mounted file system: tasks write
+    their parts there themselves, each at its own place, so a task that runs again
+    writes the same bytes. Where the folder can be reached through Spark only, the
+    driver writes the parts to local files and Spark sends these to each executor.
     """
 
     def __init__(self, spark: SparkSession, label: str, mounted: bool | None = None):
@@ -96,13 +99,42 @@ class Store:
         os.makedirs(self.folder)
         self.kinds: dict[str, str] = {}
 
-    def writer(self, name: str, kind: str):
+    def make(self, name: str, kind: str, size: int) -> None:
+        """A file of ``size`` zeros."""
         self.kinds[name] = np.dtype(kind).str
-        return open(os.path.join(self.folder, self.file(name)), "wb")
-
-    def put(self, name: str, values: np.ndarray) -> None:
-        with self.writer(name, values.dtype.str) as f:
-            f.write(values.tobytes())
+        with open(os.path.join(self.folder, self.file(name)), "wb") as f:
+            f.truncate(size * np.dtype(kind).itemsize)
+
+    def put(self, name: str, at: int, values: np.ndarray) -> None:
+        """Write ``values`` from place ``at`` on."""
+        values = np.ascontiguousarray(values, dtype=self.kinds[name])
+        handle = os.open(os.path.join(self.folder, self.file(name)), os.O_WRONLY)
+        try:
+            data, done = memoryview(values).cast("B"), 0
+            while done < len(data):
+                done += os.pwrite(handle, data[done:], at * values.itemsize + done)
+        finally:
+            os.close(handle)
+
+    def fill(self, blocks: DataFrame, parts: Callable[[int, bytes], Iterator[tuple[str, int, np.ndarray]]]) -> None:
+        """Put all that ``parts`` (name, place, values) makes of each row (bucket, block)."""
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done = 0
+            for batch in batches:
+                for bucket, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    for part in parts(bucket, block):
+                        self.put(*part)
+                    done += 1
+            yield pa.RecordBatch.from_arrays([pa.array([done])], names=["n"])
+
+        blocks = blocks.select("bucket", "block")
+        if self.mounted:
+            blocks.mapInArrow(write, "n long").agg({"n": "sum"}).collect()
+        else:
+            for row in blocks.toLocalIterator():
+                for part in parts(row["bucket"], bytes(row["block"])):
+                    self.put(*part)
 
     def file(self, name: str) -> str:
         return f"{self.name}-{name}"

@@ -7,8 +7,8 @@ adds them up. The hash spreads every word's bigrams evenly, so no frequent word
 makes a task large. The model is stored as sorted hash arrays in files, which
 workers map into memory to score texts: word hashes with their counts, discounted
 probabilities and back-off weights, and bigrams as 32 bits of their hash in
-buckets of the leading bits, with counts. The driver writes the files block by
-block and never holds them.
+buckets of the leading bits, with counts. Tasks write their buckets' parts of the
+files; the driver holds how many entries each bucket has, and no more.
 
 A text is a sentence: its words, lower-cased (A-Z), then an end. Bigrams that
 begin a text have a context of their own. Continuation counts give the unigram
@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.hasharrays import Gatherer, Reader, Store, bucket_starts, find, merge, pack, unpack
-from marlstone.llm.shared import settle
+from marlstone.llm.hasharrays import Gatherer, Reader, Store, find, merge, pack, unpack
+from marlstone.llm.shared import clash_free, discard, settle
 from marlstone.llm.words import U64, Words, find_words, mix, pieces
 
 #: The hash of the end of a text; no word has a known hash, so it is as good as any.
 END = U64(0x5851F42D4C957F2D)
 #: Kinds of blocks.
-BIGRAMS, CONTEXTS, ENDINGS, TALLY = range(4)
+WORDS, BIGRAMS, CONTEXTS, ENDINGS, TALLY, SIZES = range(6)
 BLOCKS = "kind int, bucket int, block binary"
 PIECE = 4 << 20
 
@@ -116,7 +116,7 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
     """Counts all rows of ``df``."""
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket_bits = min(14, max(6, (4 * partitions if buckets is None else buckets).bit_length()))
+    bucket_bits = max(6, (4 * partitions if buckets is None else buckets).bit_length())  # buckets grow with the partitions asked for
     texts = df.select(F.col(f"`{text_col}`").alias("_text"))
 
     def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,25 +133,31 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
             yield from dealt(arrays, (arrays[0] >> U64(64 - bucket_bits)).astype(np.int64), 0)
 
     def merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for kind, bucket, arrays in gathered(batches):
-            yield rows_of([block(kind, bucket, *arrays)])
+        for _, bucket, arrays in gathered(batches):
+            yield rows_of([block(WORDS, bucket, *arrays), block(SIZES, bucket, np.arange(2, dtype=np.uint64), np.array([len(arrays[0]), arrays[1].sum()], dtype=np.uint64))])
 
     def settled(blocks: DataFrame, task, label: str) -> DataFrame:
         return settle(blocks.repartition(max(partitions, 1), "kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(task, BLOCKS), label)
 
     vocabulary = settled(texts.mapInArrow(count_words, BLOCKS), merge_words, "vocabulary")
     store = Store(spark, "kneser-ney", mounted)
-    tokens, types = 0, 0
-    with store.writer("words", "<u8") as words_file, store.writer("word_counts", "<u8") as counts_file:
-        for row in vocabulary.orderBy("bucket").toLocalIterator():
-            keys, counts = unpack(row["block"])
-            words_file.write(keys.astype("<u8").tobytes())
-            counts_file.write(counts.astype("<u8").tobytes())
-            tokens, types = tokens + int(counts.sum()), types + len(keys)
-    word_bits = max(1, (types // 4).bit_length())
-    words = np.memmap(words_file.name, dtype="<u8", mode="r") if types else np.zeros(0, dtype=np.uint64)
-    store.put("word_starts", bucket_starts(words, word_bits))
-    del words
+    sizes = sizes_of(vocabulary)
+    types, tokens = (sum(x[i] for x in sizes.values()) for i in range(2))
+    word_bits = max(bucket_bits, (types // 4).bit_length())
+    width, at = 1 << (word_bits - bucket_bits), places(sizes)
+    for name, kind, n in (("words", "<u8", types), ("word_counts", "<u8", types), ("word_starts", "<i8", (1 << word_bits) + 1)):
+        store.make(name, kind, n)
+
+    def word_parts(bucket: int, blob: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+        keys, counts = unpack(blob)
+        yield "words", at[bucket], keys
+        yield "word_counts", at[bucket], counts
+        local = (keys >> U64(64 - word_bits)).astype(np.int64) - bucket * width
+        yield "word_starts", bucket * width + 1, at[bucket] + np.cumsum(np.bincount(local, minlength=width))
+
+    store.fill(vocabulary.where(F.col("kind") == WORDS), word_parts)
+    fill_gaps(store, "word_starts", sizes, at, types, 1 << bucket_bits, width)
+    discard(vocabulary)
     if types >= 1 << 32:
         raise ValueError(f"{types} distinct words; word numbers have 32 bits")
     reader = store.reader(spark)
@@ -184,12 +190,12 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
             h = mix(keys)
             order = np.argsort(h)
             local = ((h[order] >> U64(64 - bigram_bits)) - (U64(bucket) << U64(bigram_bits - bucket_bits))).astype(np.int64)
-            sizes = np.bincount(local, minlength=1 << (bigram_bits - bucket_bits)).astype("<u4")
+            held = np.bincount(local, minlength=1 << (bigram_bits - bucket_bits)).astype("<u4")
             low = (h[order] << U64(bigram_bits) >> U64(32)).astype("<u4")
             c = counts[order]
             over = np.flatnonzero(c >= 255)
-            blob = b"".join(np.int64(len(x)).tobytes() + x.tobytes() for x in (sizes.view(np.uint8), low.view(np.uint8), np.minimum(c, 255).astype(np.uint8), over.astype("<i8").view(np.uint8), c[over].astype("<i8").view(np.uint8)))
-            yield rows_of([(BIGRAMS, bucket, blob)])
+            blob = b"".join(np.int64(len(x)).tobytes() + x.tobytes() for x in (held.view(np.uint8), low.view(np.uint8), np.minimum(c, 255).astype(np.uint8), over.astype("<i8").view(np.uint8), c[over].astype("<i8").view(np.uint8)))
+            yield rows_of([(BIGRAMS, bucket, blob), block(SIZES, bucket, np.arange(2, dtype=np.uint64), np.array([len(c), len(over)], dtype=np.uint64))])
             left = keys >> U64(32)
             head = np.flatnonzero(np.concatenate([[True], left[1:] != left[:-1]]))
             contexts.add(left[head], *(np.add.reduceat(x, head) for x in (counts, *((counts == i).astype(np.uint64) for i in (1, 2)), (counts >= 3).astype(np.uint64))))
@@ -208,9 +214,9 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
         for kind, bucket, arrays in gathered(batches):
             yield rows_of([block(kind, bucket, *arrays)])
             if kind == ENDINGS:
-                yield rows_of([block(TALLY, 1, *tally(arrays[1])), block(TALLY, 2, np.zeros(1, dtype=np.uint64), arrays[1].sum(keepdims=True))])
+                yield rows_of([block(TALLY, 1, *tally(arrays[1])), block(TALLY, 2, np.arange(2, dtype=np.uint64), np.array([arrays[1].sum(), (arrays[1] >= 3).sum()], dtype=np.uint64))])
 
-    statistics = settled(bigrams.where(F.col("kind") != BIGRAMS), merge_statistics, "statistics")
+    statistics = settled(bigrams.where(F.col("kind").isin(CONTEXTS, ENDINGS, TALLY)), merge_statistics, "statistics")
     tallies: dict[int, dict[int, int]] = {0: {}, 1: {}, 2: {}}
     for row in statistics.where(F.col("kind") == TALLY).toLocalIterator():
         for k, n in zip(*(x.tolist() for x in unpack(row["block"]))):
@@ -218,55 +224,79 @@ def train(df: DataFrame, *, text_col: str = "text", buckets: int | None = None,
     steps, lower = discounts(tallies[0]), discounts(tallies[1])
     all_endings = tallies[2].get(0, 0)
 
-    taken = sum(lower[i] * tallies[1].get(i, 0) for i in (1, 2))
-    seen = 0
-    for row in statistics.where(F.col("kind") == ENDINGS).select("block").toLocalIterator():
-        seen += int((unpack(row["block"])[1] >= 3).sum())
-    unknown = (taken + lower[3] * seen) / all_endings / (types + 1) if all_endings else 1 / (types + 1)
-    at = 0
-    with store.writer("lower", "<f8") as f:
-        for row in statistics.where(F.col("kind") == ENDINGS).orderBy("bucket").select("block").toLocalIterator():
-            keys, n = unpack(row["block"])
-            f.write(np.full(int(keys[0]) - at, unknown, dtype="<f8").tobytes())
-            values = np.full(int(keys[-1] - keys[0]) + 1, unknown, dtype="<f8")
-            values[(keys - keys[0]).astype(np.int64)] += (n - lower[np.minimum(n, 3).astype(np.int64)]) / all_endings
-            f.write(values.tobytes())
-            at = int(keys[-1]) + 1
-        f.write(np.full(types + 1 - at, unknown, dtype="<f8").tobytes())
-    at = 0
-    with store.writer("totals", "<f8") as f, store.writer("backoffs", "<f8") as g:
-        for row in statistics.where(F.col("kind") == CONTEXTS).orderBy("bucket").select("block").toLocalIterator():
-            keys, total, *n = unpack(row["block"])
-            width = int(keys[-1]) + 1 - at
-            totals, backoffs = np.zeros(width), np.ones(width)
-            place = keys.astype(np.int64) - at
-            totals[place] = total
-            backoffs[place] = sum(steps[i + 1] * n[i] for i in range(3)) / total
-            f.write(totals.astype("<f8").tobytes())
-            g.write(backoffs.astype("<f8").tobytes())
-            at += width
-        f.write(np.zeros(types + 1 - at, dtype="<f8").tobytes())
-        g.write(np.ones(types + 1 - at, dtype="<f8").tobytes())
-    base, expected, many_at, many = 0, 0, [], []
+    taken = sum(lower[i] * tallies[1].get(i, 0) for i in (1, 2)) + lower[3] * tallies[2].get(1, 0)
+    unknown = taken / all_endings / (types + 1) if all_endings else 1 / (types + 1)
+    defaults = {"lower": unknown, "totals": 0.0, "backoffs": 1.0}
+    for name in defaults:
+        store.make(name, "<f8", types + 1)
+
+    def word_statistics(names: list[str], bucket: int, keys: np.ndarray, values: list[np.ndarray]) -> Iterator[tuple[str, int, np.ndarray]]:
+        first = bucket * span
+        for name, own in zip(names, values):
+            out = np.full(min(span, types + 1 - first), defaults[name])
+            out[(keys - U64(first)).astype(np.int64)] = own
+            yield name, first, out
+
+    def ending_parts(bucket: int, blob: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+        keys, n = unpack(blob)
+        yield from word_statistics(["lower"], bucket, keys, [unknown + (n - lower[np.minimum(n, 3).astype(np.int64)]) / all_endings])
+
+    def context_parts(bucket: int, blob: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+        keys, total, *n = unpack(blob)
+        yield from word_statistics(["totals", "backoffs"], bucket, keys, [total, sum(steps[i + 1] * n[i] for i in range(3)) / total])
+
+    for kind, parts, names in ((ENDINGS, ending_parts, ["lower"]), (CONTEXTS, context_parts, ["totals", "backoffs"])):
+        blocks = statistics.where(F.col("kind") == kind)
+        there = {r["bucket"] for r in blocks.select("bucket").collect()}
+        for bucket in set(range(-(-(types + 1) // span))) - there:  # ranges of words that nothing is known of
+            for name in names:
+                store.put(name, bucket * span, np.full(min(span, types + 1 - bucket * span), defaults[name]))
+        store.fill(blocks, parts)
+    sizes = sizes_of(bigrams)
+    pairs_at, many_at = places(sizes), places(sizes, 1)
+    number, many = (sum(x[i] for x in sizes.values()) for i in range(2))
     width = 1 << (bigram_bits - bucket_bits)
-    with store.writer("bigram_starts", "<i8") as starts, store.writer("bigrams", "<u4") as low_file, store.writer("bigram_counts", "u1") as counts_file:
-        for row in bigrams.where(F.col("kind") == BIGRAMS).orderBy("bucket").toLocalIterator():
-            starts.write(np.full((row["bucket"] - expected) * width, base, dtype="<i8").tobytes())
-            expected = row["bucket"] + 1
-            sizes, low, counts, over, more = raw_parts(row["block"])
-            sizes = np.frombuffer(sizes, dtype="<u4")
-            starts.write((base + np.cumsum(sizes) - sizes).astype("<i8").tobytes())
-            low_file.write(low)
-            counts_file.write(counts)
-            many_at.append(np.frombuffer(over, dtype="<i8") + base)
-            many.append(np.frombuffer(more, dtype="<i8"))
-            base += len(counts)
-        starts.write(np.full(((1 << bucket_bits) - expected) * width + 1, base, dtype="<i8").tobytes())
-    store.put("many_at", np.concatenate([np.zeros(0, dtype=np.int64), *many_at]))
-    store.put("many", np.concatenate([np.zeros(0, dtype=np.int64), *many]))
+    for name, kind, n in (("bigram_starts", "<i8", (1 << bigram_bits) + 1), ("bigrams", "<u4", number), ("bigram_counts", "u1", number), ("many_at", "<i8", many), ("many", "<i8", many)):
+        store.make(name, kind, n)
+
+    def bigram_parts(bucket: int, blob: bytes) -> Iterator[tuple[str, int, np.ndarray]]:
+        held, low, counts, over, more = (np.frombuffer(x, dtype=t) for x, t in zip(raw_parts(blob), ("<u4", "<u4", "u1", "<i8", "<i8")))
+        yield "bigram_starts", bucket * width + 1, pairs_at[bucket] + np.cumsum(held, dtype=np.int64)
+        yield "bigrams", pairs_at[bucket], low
+        yield "bigram_counts", pairs_at[bucket], counts
+        yield "many_at", many_at[bucket], over + pairs_at[bucket]
+        yield "many", many_at[bucket], more
+
+    store.fill(bigrams.where(F.col("kind") == BIGRAMS), bigram_parts)
+    fill_gaps(store, "bigram_starts", sizes, pairs_at, number, 1 << bucket_bits, width)
+    discard(bigrams, statistics)
     return Model(store.reader(spark), tokens, types, word_bits, bigram_bits, steps, unknown)
 
 
+def sizes_of(blocks: DataFrame) -> dict[int, list[int]]:
+    """By bucket: its numbers of entries. Two numbers for each bucket are all that is collected."""
+    return {r["bucket"]: unpack(r["block"])[1].tolist() for r in blocks.where(F.col("kind") == SIZES).collect()}
+
+
+def places(sizes: dict[int, list[int]], which: int = 0) -> dict[int, int]:
+    """By bucket: entries in earlier buckets."""
+    out, at = {}, 0
+    for bucket in sorted(sizes):
+        out[bucket] = at
+        at += sizes[bucket][which]
+    return out
+
+
+def fill_gaps(store: Store, name: str, sizes: dict[int, list[int]], at: dict[int, int], total: int, buckets: int, width: int) -> None:
+    """First positions for buckets that hold nothing: where the next one begins."""
+    following = total
+    for bucket in range(buckets - 1, -1, -1):
+        if bucket in sizes:
+            following = at[bucket]
+        else:
+            store.put(name, bucket * width + 1, np.full(width, following))
+
+
 def raw_parts(blob: bytes) -> list[bytes]:
     out, at = [], 0
     while at < len(blob):
@@ -307,9 +337,9 @@ def token_scores(model: Model, words: Words) -> tuple[np.ndarray, np.ndarray, np
     return count, base, np.log10(p), first
 
 
+@clash_free
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) of every row with _n_tokens, _n_known, _base_score, _score; perplexity is 10 ** (-_score / _n_tokens)."""
-    keep = list(keep if keep is not None else df.columns)
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
 
