@@ -18,16 +18,19 @@ through, and a column named like an output column is replaced by the output.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.llm.shared import discard, renamed, settle
+
 URL_PATTERN = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A level stores 7 bits a byte, so that each byte is ASCII and ``ascii`` can read it; 8 bytes make a cell.
 BITS_A_BYTE, BITS_A_CELL = 7, 56
-#: A level larger than this is refused: levels travel inside the plan to every task.
+#: Levels travel inside the plan to every task, so they are no larger than this; longer lists are joined instead.
 MAX_LEVEL_BYTES = 64 << 20
 
 
@@ -60,11 +63,13 @@ def positions(key: Column, seed: int, bits: int, probes: int) -> list[Column]:
     return [F.pmod(F.shiftright(first, 1) + F.lit(i) * F.shiftright(step, 8), F.lit(bits)) for i in range(probes)]
 
 
+def level_bits(count: int, bits_a_key: int) -> int:
+    return max(BITS_A_CELL, -(-count * bits_a_key // BITS_A_CELL) * BITS_A_CELL)
+
+
 def encode(keys: DataFrame, key: str, count: int, seed: int, bits_a_key: int, probes: int) -> Level:
     """Set the bits of all ``keys``: an aggregate by cell, whose size is bounded by the level's own."""
-    bits = max(BITS_A_CELL, -(-count * bits_a_key // BITS_A_CELL) * BITS_A_CELL)
-    if bits // BITS_A_BYTE > MAX_LEVEL_BYTES:
-        raise ValueError(f"{count} keys need a filter of {bits // BITS_A_BYTE} bytes; the bound is {MAX_LEVEL_BYTES}")
+    bits = level_bits(count, bits_a_key)
     at = F.explode(F.array(*positions(F.col(key), seed, bits, probes)))
     cells = (
         keys.select(at.alias("at"))
@@ -90,22 +95,51 @@ class Cascade:
         return member
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key", *, bits_a_key: int = 12, probes: int = 4) -> Cascade:
-    """``listed`` and ``universe`` have a string column ``key``. The universe may repeat keys and hold listed ones."""
-    listed = listed.select(key).where(F.col(key).isNotNull()).distinct()
-    inside, outside, levels = listed, None, []
+def build_cascade(listed: DataFrame, universe: DataFrame, key: str = "key", *, bits_a_key: int = 12, probes: int = 4, most_bytes: int | None = None) -> Cascade | None:
+    """``listed`` and ``universe`` have a string column ``key``. The universe may repeat keys and hold listed ones.
+
+    None if a level would be larger than ``most_bytes`` (default: ``MAX_LEVEL_BYTES``).
+    What a level wrongly accepts is written for the next, and gone when the cascade is built.
+    """
+    most_bytes = MAX_LEVEL_BYTES if most_bytes is None else most_bytes
+    listed = settle(listed.select(key).where(F.col(key).isNotNull()).distinct(), "listed-keys")
+    inside, outside, levels, written = listed, None, [], [listed]
     while True:
         count = inside.count()
         if not count:
             break
+        if level_bits(count, bits_a_key) // BITS_A_BYTE > most_bytes:
+            levels = None
+            break
         levels.append(encode(inside, key, count, len(levels) + 1, bits_a_key, probes))
         level = levels[-1]
         if outside is None:  # the only pass over the whole universe: filtered first, made distinct after
-            wrong = universe.select(key).where(level.accepts(F.col(key))).distinct().join(listed, key, "left_anti").cache()
+            wrong = universe.select(key).where(level.accepts(F.col(key))).distinct().join(listed, key, "left_anti")
         else:
-            wrong = outside.where(level.accepts(F.col(key))).cache()
+            wrong = outside.where(level.accepts(F.col(key)))
+        wrong = settle(wrong, "wrong-keys")
+        written.append(wrong)
         inside, outside = wrong, inside
-    return Cascade(tuple(levels))
+    discard(*written)
+    return None if levels is None else Cascade(tuple(levels))
+
+
+def mark_listed(df: DataFrame, key: Column, listed: DataFrame, *, listed_key: str = "key", flag: str = "is_listed", most_bytes: int | None = None) -> DataFrame:
+    """``df`` with the boolean column ``flag``: whether ``key`` is among ``listed``. Null keys are not.
+
+    Lists of any length: as many keys as levels of ``most_bytes`` hold (some 39 million by
+    default) are looked up in a cascade over the table's own keys, longer lists are joined.
+    """
+    _, names = renamed(df)
+    keyed = df.select(*[F.col(f"`{c}`").alias(names[c]) for c in df.columns], key.cast("string").alias("_key"))
+    keys = listed.select(F.col(f"`{listed_key}`").cast("string").alias("key"))
+    cascade = build_cascade(keys, keyed.select(F.col("_key").alias("key")).where("_key IS NOT NULL"), most_bytes=most_bytes)
+    if cascade is not None:
+        marked = keyed.withColumn("_flag", F.coalesce(cascade.contains(F.col("_key")), F.lit(False)))
+    else:
+        once = keys.where("key IS NOT NULL").distinct().withColumn("_there", F.lit(True))
+        marked = keyed.join(once, keyed["_key"] == once["key"], "left").withColumn("_flag", F.coalesce("_there", F.lit(False)))
+    return marked.select(*[F.col(names[c]).alias(c) for c in df.columns if c != flag], F.col("_flag").alias(flag))
 
 
 @dataclass(frozen=True)
@@ -150,8 +184,9 @@ def apply_rules(df: DataFrame, rules: list[Rule], *, url: str = "url", default:
     bare = df.select(url_host(F.col(f"`{url}`")).alias("host"), url_path(F.col(f"`{url}`")).alias("path"))
     universe = bare.select(candidate_keys(F.col("host"), F.col("path"), rules).alias("keys"))
     named = key_table(spark, [r.key for r in rules])
-    is_rule = build_cascade(named, universe.select(F.explode("keys").alias("key")))
-    is_listed = build_cascade(key_table(spark, [r.key for r in rules if r.verdict == listed]), named)
+    # the driver holds the rules as a list, and a filter is smaller than its list
+    is_rule = build_cascade(named, universe.select(F.explode("keys").alias("key")), most_bytes=sys.maxsize)
+    is_listed = build_cascade(key_table(spark, [r.key for r in rules if r.verdict == listed]), named, most_bytes=sys.maxsize)
     other = next((r.verdict for r in rules if r.verdict != listed), default)
     fitting = F.filter(candidate_keys(F.col("host"), F.col("path"), rules), is_rule.contains)
     longest = F.array_max(F.transform(fitting, lambda k: F.struct(F.length(k).alias("n"), k.alias("key"))))["key"]
