@@ -13,8 +13,8 @@ are spread over the other shards; without this, one group holding a third of the
 bytes would set the capacity and leave shards empty.
 
 Edge cases: a null text has no bytes, CRC 0 and shares the group of empty texts.
-Null, repeated and tied ids are fine: slots follow id, then text hash, and stay
-gapless. An empty table gives an empty result. Two texts with the same 64-bit
+Null, repeated and tied ids are fine: slots stay gapless, in an order of hashes that
+spreads repeated rows too. An empty table gives an empty result. Two texts with the same 64-bit
 hash would merely share a group. Extra columns of the input are not carried.
 """
 
@@ -122,14 +122,18 @@ def cut_keys(groups: DataFrame, shards: int) -> list[int]:
 
 
 def shard(df: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in each shard)."""
+    """One row per input row: id, size, text_crc32, shard, slot (gapless from 0 in each shard).
+
+    The id keeps its name, unless that is one of the others: then it is called ``id``.
+    """
     text = F.col(f"`{text_col}`")
     rows = settle(
         df.select(
-            F.col(f"`{id_col}`").alias(id_col),
+            F.col(f"`{id_col}`").alias("_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1).alias("size"),
             F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
             F.xxhash64(F.coalesce(text, F.lit(""))).alias("_key"),
+            F.pmod(F.monotonically_increasing_id(), F.lit(CELLS)).cast("int").alias("_turn"),  # tells repeated rows apart
         ),
         "shard-rows",
     )
@@ -147,10 +151,10 @@ def shard(df: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col: s
         number = number + (F.col("_key") >= cut).cast("int")
     for i, key in enumerate(alone):
         number = F.when(F.col("_key") == key, F.lit(i)).otherwise(number)
-    placed = rows.withColumns({"shard": number.cast("int"), "_cell": F.pmod(F.xxhash64(id_col, "_key"), F.lit(CELLS)).cast("int")})
+    placed = rows.withColumns({"shard": number.cast("int"), "_cell": F.pmod(F.xxhash64("_id", "_key", "_turn"), F.lit(CELLS)).cast("int")})
     cells = placed.groupBy("shard", "_cell").agg(F.count(F.lit(1)).alias("_n"))  # at most shards * CELLS rows
     before = cells.selectExpr("shard", "_cell", "sum(_n) over (partition by shard order by _cell) - _n as _before")
-    ranked = placed.selectExpr("*", f"row_number() over (partition by shard, _cell order by `{id_col}`, _key) as _rank")
+    ranked = placed.selectExpr("*", "row_number() over (partition by shard, _cell order by _id, _key) as _rank")
     return ranked.join(F.broadcast(before), ["shard", "_cell"]).select(
-        id_col, "size", "text_crc32", "shard", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot")
+        F.col("_id").alias("id" if id_col in ("size", "text_crc32", "shard", "slot") else id_col), "size", "text_crc32", "shard", (F.col("_before") + F.col("_rank") - 1).cast("long").alias("slot")
     )
