@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import crf
-from marlstone.llm.shared import renamed, restored
+from marlstone.llm.shared import clash_free, discard, renamed, restored, settle
 from marlstone.llm.words import SPACE_OR_MARK, U64, Words, find_words, mix, pair, pieces, prefix_hashes
 
 SAMPLE_ROWS = 2000
@@ -180,22 +180,24 @@ def fit_toxicity(
 ) -> Model:
     known = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("_id")).agg(F.max(F.col(f"`{label_col}`")).alias("_toxic"))
     text, ident = F.col(f"`{text_col}`"), F.col(f"`{id_col}`")
-    known = known.where(~held_out(F.col("_id"))).select("_id", (F.col("_toxic") > 0).alias("_toxic"))
+    known = known.where(~held_out(F.col("_id"))).select(F.col("_id").alias("_of"), (F.col("_toxic") > 0).alias("_toxic"))
     numbers = {r["_toxic"]: r["count"] for r in known.groupBy("_toxic").count().collect()}
     texts = df.where(~held_out(ident) & (F.octet_length(text) <= sample_bytes)).select(ident.alias("_id"), text.alias("_text"))
-    order = [F.xxhash64("_id", F.lit(3)), F.col("_id")]
-    # the sampled ids are chosen first, so that no text but theirs is moved; their number is bounded
+    # ids of labelled texts that are there are sampled first, so that no text but theirs is moved; their number is bounded
+    present = settle(texts.select("_id").distinct().join(known, F.col("_id") == F.col("_of")).select("_of", "_toxic"), "labelled")
     parts = []
     for kind in (False, True):
-        chosen = known.where(F.col("_toxic") == kind).orderBy(*order).limit(sample_rows)
-        parts.append(texts.join(F.broadcast(chosen), "_id").orderBy(*order).limit(sample_rows).select("_text").toArrow().column(0).cast(pa.large_string()).combine_chunks())
+        chosen = present.where(F.col("_toxic") == kind).orderBy(F.xxhash64("_of", F.lit(3)), "_of").limit(sample_rows)
+        some = texts.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).orderBy(F.xxhash64("_id", F.lit(3)), "_id").limit(sample_rows)
+        parts.append(some.select("_text").toArrow().column(0).cast(pa.large_string()).combine_chunks())
+    discard(present)
     toxic = np.repeat([False, True], [len(p) for p in parts])
     return train(pa.concat_arrays(parts), toxic, numbers.get(True, 0) / max(1, sum(numbers.values())))
 
 
+@clash_free
 def score(df: DataFrame, model: Model, *, text_col: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
     """``keep`` columns (default: all) of every row with ``_score`` and, if ``spans``, ``_spans``: start, end (characters), probability."""
-    keep = list(keep if keep is not None else df.columns)
     shared = df.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights, whatever the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
