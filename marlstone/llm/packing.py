@@ -9,7 +9,8 @@ same sequences.
 shortest tier that holds it (whole windows are cut off first); each tier opens a
 window for each of its pieces, longest first, and fills the gap with the best
 fitting pieces of shorter tiers, cutting one where none fits. Windows are exactly
-full; what is left in the end is cut to sequences of powers of two.
+full; what a task has left in the end, less than a window, is cut to sequences of
+powers of two, which may be shorter than the least tier, so that nothing is padded.
 
 ``pack_best_fit``: best-fit-decreasing packing into windows of one length. A
 segment tree over free capacities finds the fullest window that a piece fits in.
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from marlstone.llm.shared import clash_free
 from marlstone.llm.tokenizing import encoder
 from marlstone.llm.words import pieces
 
@@ -179,12 +181,12 @@ def numbered() -> int:
     return TaskContext.get().partitionId() << 33
 
 
+@clash_free
 def pack_tiers(
     df: DataFrame, tokenizer: str, *, text_col: str = "text", keep: list[str] | None = None, context: int = CONTEXT, least: int = LEAST_TIER,
     end: int = END, buffer_tokens: int = BUFFER_TOKENS, step_contexts: int = STEP_CONTEXTS,
 ) -> DataFrame:
-    """One row per piece: ``keep`` columns, _start, _length, _ids (little-endian 32-bit), _doc_tokens, _sequence_id, _offset, _tier, _step."""
-    keep = list(keep if keep is not None else [c for c in df.columns if c != text_col])
+    """One row per piece: ``keep`` columns (default: all), _start, _length, _ids (little-endian 32-bit), _doc_tokens, _sequence_id, _offset, _tier, _step."""
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("_text"))
     kinds = [to_arrow_type(rows.schema[c].dataType) for c in keep]
     fields = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in keep)
