@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import settle
+from marlstone.llm.shared import discard, settle
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,25 +13,36 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is a minimum by node, joined back to the node's edges: no group is
     ever gathered, so a star of any size is only a skewed join, which adaptive
-    execution splits. Every round is a written table. Loops and repeated edges do
-    no harm; nodes without an edge to another node are not returned.
+    execution splits. Every round is a written table. Few rounds are needed if edges
+    point to the smallest node that is known to be in reach. Loops and repeated edges
+    do no harm; nodes without an edge to another node are not returned.
     """
-    edges = settle(edges.select("a", "b").where("a <> b").distinct(), "links")
-    before = None
+    edges = settle(edges.select("a", "b").where("a <> b"), "links")
     while True:
-        edges = settle(star(edges, large=True), "links")
-        seen = Observation()  # of what is written anyway
-        mark = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")]
-        edges = settle(star(edges, large=False).observe(seen, *mark), "links")
-        if seen.get == before:
+        edges = starred(starred(edges, large=True), large=False)
+        if settled_down(edges):
             break
-        before = seen.get
     # every edge now points from a node to its root
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def star(edges: DataFrame, large: bool) -> DataFrame:
-    """Edges (a, b) with a > b afterwards; large: to larger neighbours, else to smaller ones and the node itself."""
+def settled_down(edges: DataFrame) -> bool:
+    """Whether every node points to one other at most and none that is pointed to points on."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("ways"), F.lit(0).alias("asked")), F.struct(F.col("b").alias("node"), F.lit(0).alias("ways"), F.lit(1).alias("asked")))).alias("end"))
+    nodes = ends.groupBy("end.node").agg(F.sum("end.ways").alias("ways"), F.max("end.asked").alias("asked"))
+    return not nodes.where("ways > 1 OR (ways = 1 AND asked = 1)").agg(F.count(F.lit(1))).first()[0]
+
+
+def starred(edges: DataFrame, large: bool) -> DataFrame:
+    """The settled ``edges`` after one half of a round; they and what the half has written go."""
+    out, least = star(edges, large)
+    after = settle(out, "links")
+    discard(edges, least)
+    return after
+
+
+def star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """Edges (a, b) with a > b afterwards; large: to larger neighbours, else to smaller ones and the node itself. Also the settled minima that they are made from."""
     if large:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
@@ -43,4 +54,4 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
         out = met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = met.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("of").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    return out.where("a <> b").distinct(), least

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.shared import renamed, restored, settle
-from marlstone.llm.words import M1, find_words, mix, pieces, shingle_hashes, text_bytes
+from marlstone.llm.shared import clash_free, discard, renamed, restored, settle
+from marlstone.llm.words import M1, find_words, mix, pieces, shingle_hashes, shingle_words, space_joined, xxh64
 
 SEED = 42
 #: Fingerprints in a block at least. Blocks grow with the input; there are about as many as give four tasks to a core.
 BLOCK, LEAST_BLOCKS, MOST_BLOCKS = 4096, 16, 256
 #: A block is never larger than this, so with very many fingerprints there are more blocks.
-BLOCK_BYTES = 256 << 20
+BLOCK_BYTES = 16 << 20
 TILE = 256
 PARTS = 8
 #: Shingles in a part of a candidate group whose pairs are verified, and the parts that a group has between these sizes.
@@ -44,28 +43,12 @@ LEAST_OF_PART, MOST_OF_PART, PARTS_OF_GROUP = 1 << 15, 1 << 21, 16
 BYTES = np.uint64(0x0101010101010101)
 
 
-def standard_hashes(text: bytes, size: int) -> list[int]:
-    """XXH64 of every shingle: the hashes that fingerprints of ``near_duplicates`` are defined by."""
-    words = text.split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(joined, SEED)]
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-    ends = np.cumsum(lengths) - 1
-    starts = ends - lengths + 1
-    digest = xxhash.xxh64_intdigest
-    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())]
-
-
 def standard_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles text by text, and where texts begin."""
-    data, at = text_bytes(texts)
-    data = data.lower()
-    hashes = [standard_hashes(data[at[i] : at[i + 1]], size) for i in range(len(texts))]
-    first = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int64)
-    return np.fromiter(chain.from_iterable(hashes), dtype=np.uint64, count=first[-1]), first
+    """XXH64 of every shingle, text by text, and where texts begin: what fingerprints of ``near_duplicates`` are defined by."""
+    words = find_words(texts, lower=True)
+    data, start, end = space_joined(words)
+    one, last, first = shingle_words(words, size)
+    return xxh64(data, start[one], end[last] - start[one], SEED), first
 
 
 def distinct_shingles(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -240,6 +223,15 @@ def linked_rows(left: np.ndarray, right: np.ndarray | None, radius: int, screen:
     return forest.parent
 
 
+def smallest_members(label: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that share a label with others, without the one of the smallest fingerprint, and that one: tasks that see one group name one root."""
+    rows = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+    rows = rows[np.lexsort((*prints[rows].T[::-1], label[rows]))]
+    head = np.flatnonzero(np.diff(label[rows], prepend=-1))
+    least = np.repeat(rows[head], np.diff(np.append(head, len(rows))))
+    return rows[rows != least], least[rows != least]
+
+
 def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
     """``prints``: distinct ``_print``, ``_ones``. A forest with the components of all pairs within the radius."""
     spark = prints.sparkSession
@@ -257,12 +249,15 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
     width = lanes * 8
 
     def to_blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for number, one in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held.setdefault(number, []).append(one)
+            numbers, column = batch.column(0).to_numpy(), batch.column(1).cast(pa.binary())
+            at = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset]
+            ones = np.frombuffer(column.buffers()[2], dtype=np.uint8)[at : at + width * len(column)].reshape(-1, width)
+            for number in np.unique(numbers).tolist():
+                held.setdefault(number, []).append(ones[numbers == number])
         for number, ones in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([b"".join(ones)], pa.binary())], names=["block", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([np.concatenate(ones).tobytes()], pa.binary())], names=["block", "blob"])
 
     blobs = settle(prints.select(block.alias("block"), "_print").repartition(len(blocks), "block").mapInArrow(to_blobs, "block int, blob binary"), "blocks")
 
@@ -278,27 +273,24 @@ def links(prints: DataFrame, lanes: int, radius: int, screen: int) -> DataFrame:
                     held[number] = blob
                     continue
                 arrays = [np.frombuffer(s, dtype=">u8").reshape(-1, lanes).astype(np.uint64) for s in sides]
-                parent = linked_rows(arrays[0], arrays[1] if len(arrays) > 1 else None, radius, screen)
-                child = np.flatnonzero(parent != np.arange(len(parent)))
+                both = np.concatenate(arrays)
+                child, least = smallest_members(linked_rows(arrays[0], arrays[1] if len(arrays) > 1 else None, radius, screen), both)
                 if len(child):
-                    both = b"".join(sides)
-                    one = lambda k: both[k * width : k * width + width]
-                    yield pa.RecordBatch.from_arrays([pa.array([one(k) for k in rows.tolist()], pa.binary()) for rows in (child, parent[child])], names=["a", "b"])
-
-    # a block goes to its pairs with all blocks whose population counts are near enough
-    either = blobs.select("block", "blob", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    first, second = F.least("block", "other"), F.greatest("block", "other")
-    gap = F.element_at(F.lit([b[0] for b in blocks]), second + 1) - F.element_at(F.lit([b[1] for b in blocks]), first + 1)
-    dealt = either.where(gap <= radius).select((second * n + first).alias("pair"), "blob")
+                    yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in both[rows].astype(">u8")], pa.binary()) for rows in (child, least)], names=["a", "b"])
+
+    # a block goes to its pairs with those blocks whose population counts are near enough
+    low, high = F.lit([b[0] for b in blocks]), F.lit([b[1] for b in blocks])
+    near = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda other: F.element_at(low, F.greatest("block", other) + 1) - F.element_at(high, F.least("block", other) + 1) <= radius)
+    dealt = blobs.select("blob", "block", F.explode(near).alias("other")).select((F.greatest("block", "other") * n + F.least("block", "other")).alias("pair"), "blob")
     return dealt.repartition(2 * len(pairs), "pair").sortWithinPartitions("pair").mapInArrow(compare, "a binary, b binary")
 
 
+@clash_free
 def near_duplicates(
     df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, lanes: int = 1, radius: int = 4, screen: int = 128, keep: list[str] | None = None
 ) -> DataFrame:
-    """``id_col`` (and ``keep``) of every row with ``_print`` and ``component_id``, the smallest id its fingerprint reaches."""
-    keep = list(dict.fromkeys([id_col, *(keep or [])]))
-    rows = settle(fingerprints(df, text_col, shingle, lanes, keep), "prints")
+    """``keep`` columns (default: all) of every row with ``_print`` and ``component_id``, the smallest id its fingerprint reaches."""
+    rows = settle(fingerprints(df, text_col, shingle, lanes, list(dict.fromkeys([id_col, *keep]))), "prints")
     distinct = settle(rows.groupBy("_print", "_ones").agg(F.min(F.col(f"`{id_col}`")).alias("_least")), "distinct-prints")
     roots = components(links(distinct.select("_print", "_ones"), lanes, radius, screen))
     linked = settle(distinct.join(roots, distinct["_print"] == roots["node"]).select("_print", "_least", "root"), "linked-prints")
@@ -310,7 +302,8 @@ def near_duplicates(
         ),
         "named-prints",
     )
-    return rows.join(named, rows["_print"] == named["_named"]).drop("_named", "_ones")
+    discard(distinct, linked)
+    return rows.join(named, rows["_print"] == named["_named"]).drop("_named", "_ones", "_root")
 
 
 def linked_sets(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -377,8 +370,8 @@ def verified(df: DataFrame, id_col: str, text_col: str, hash_col: str, candidate
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links_of(held: dict[bytes, bytes]) -> Iterator[pa.RecordBatch]:
-            names = list(held)
-            label = linked_sets([np.frombuffer(b, dtype=np.uint64) for b in held.values()], similarity)
+            names = sorted(held)  # the first member is the label of its group
+            label = linked_sets([np.frombuffer(held[name], dtype=np.uint64) for name in names], similarity)
             child = np.flatnonzero(label != np.arange(len(names)))
             if len(child):
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in rows.tolist()], pa.binary()) for rows in (child, label[child])], names=["a", "b"])
@@ -419,6 +412,7 @@ def deduplicate(
     linked = components(verified(marked, ident, text, "_text_hash", candidates, shingle, similarity))
     named = candidates.join(linked, candidates["_set"] == linked["node"], "left").select("_best", F.coalesce("root", "_set").alias("_of"))
     chosen = settle(named.groupBy("_of").agg(F.min("_best").alias("best")).select(F.col("best.n").alias("_n"), F.col("best.i").alias("_i"), F.col("best.h").alias("_h")), "kept")
+    discard(rows, sets, prints, candidates)
     # equal rows meet as partial aggregates, and the join is on the same key: texts are dealt once
     first = F.first(F.struct(*plain.columns)).alias("_row")
     once = marked.groupBy(F.col(ident).isNull().alias("_null"), F.coalesce(F.col(ident), F.lit(0).cast(marked.schema[ident].dataType)).alias("_known"), "_text_hash").agg(first)

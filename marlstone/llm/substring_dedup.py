@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.shared import renamed, restored, settle
+from marlstone.llm.shared import clash_free, discard, renamed, restored, settle
 from marlstone.llm.words import M1, U64, Words, find_words, mix, pair, pieces, sliding_min
 
 #: The low bits of a value to minimise hold its position, so ties go to the leftmost.
@@ -189,11 +189,13 @@ def repeats(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     # a key seen in one document only repeats nothing; no more than key and id is dealt to find out
     repeated = found.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select(F.col("_key").alias("_of"))
     shared = settle(found.join(repeated, found["_key"] == repeated["_of"]).drop("_of"), "shared")
+    discard(found)
     alike = shared.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"))
     kinds = alike.groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("_open")).withColumnRenamed("_key", "_of")
     least = settle(alike.join(kinds, alike["_key"] == kinds["_of"]).drop("_of"), "alike")
     # repeated rows are judged once
     judged = settle(shared.join(least, ["_key", "_whole"]).where("_open OR _least < _id").select("_id", "_hash", "_start", "_windows", "_key", "_open").distinct(), "judged")
+    discard(shared, least)
     opened = judged.where("_open").groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_windows", "_key")).alias("_spans"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +222,9 @@ def repeats(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     least = settle(single.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).where("_least < _most").drop("_most"), "shared-windows")
     later = single.join(least, ["_key", "_whole"]).where("_least < _id").select("_id", "_hash", "_start", F.lit(1).alias("_windows")).distinct()
     cuts = judged.where("not _open").select("_id", "_hash", "_start", "_windows").unionByName(later)
-    return settle(cuts.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_windows")).alias("_cuts")), "cuts")
+    done = settle(cuts.groupBy("_id", "_hash").agg(F.collect_list(F.struct("_start", "_windows")).alias("_cuts")), "cuts")
+    discard(judged, single, least)
+    return done
 
 
 def dropped(words: Words, row: np.ndarray, start: np.ndarray, count: np.ndarray, window: int) -> np.ndarray:
@@ -232,6 +236,7 @@ def dropped(words: Words, row: np.ndarray, start: np.ndarray, count: np.ndarray,
     return np.cumsum(edge[:-1]) > 0
 
 
+@clash_free
 def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 50, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (default: all) of every row, with ``_new_text``, ``_n_words``, ``_n_removed`` and ``_kept_sha256``.
 
@@ -239,7 +244,6 @@ def without_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     a text that loses nothing stays as it is, byte for byte. ``_kept_sha256`` is the
     digest of the kept words joined by single spaces.
     """
-    keep = list(keep if keep is not None else df.columns)
     cuts = repeats(df, id_col, text_col, window).select(F.col("_id").alias("_cut_id"), F.col("_hash").alias("_cut_hash"), "_cuts")
     rows = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_hash"), F.col(f"`{text_col}`").alias("_text"))
     met = rows.join(cuts, (rows["_id"] == cuts["_cut_id"]) & (rows["_hash"] == cuts["_cut_hash"]), "left").select(*[F.col(f"`{c}`") for c in keep], "_text", "_cuts")

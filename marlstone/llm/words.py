@@ -133,9 +133,7 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(size if n > 0 else 0):
         whole += names[k : k + n] * STEPS[k]
     short = np.flatnonzero((count > 0) & (count < size))
-    sizes = np.where(count < size, np.minimum(count, 1), count - size + 1)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    at = np.repeat(words.first[:-1] - first[:-1], sizes) + np.arange(first[-1])
+    at, _, first = shingle_words(words, size)
     out = np.zeros(len(at), dtype=U64)
     inside = np.ones(len(at), dtype=bool)
     inside[first[short]] = False
@@ -146,6 +144,83 @@ def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), first
 
 
+def shingle_words(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word of every shingle, text by text, and where texts begin. A text of fewer words is one shingle, an empty one none."""
+    count = np.diff(words.first)
+    sizes = np.where(count < size, np.minimum(count, 1), count - size + 1)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.repeat(words.first[:-1] - first[:-1], sizes) + np.arange(first[-1])
+    return at, at + np.repeat(np.minimum(count, size), sizes) - 1, first
+
+
+def space_joined(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The bytes of all words with one space after each, and where words begin and end in them."""
+    codes = np.frombuffer(words.data, dtype=np.uint8)
+    if not len(words.start) or (np.diff(np.append(words.start, words.end[-1] + 1)) == words.end - words.start + 1).all() and (codes[words.end[:-1]] == 0x20).all():
+        return words.data, words.start, words.end
+    size = words.end - words.start
+    end = np.cumsum(size + 1) - 1
+    start = end - size
+    out = np.full(int(end[-1]) + 1, 0x20, dtype=np.uint8)
+    inside = np.ones(len(out), dtype=bool)
+    inside[end] = False
+    taken = np.zeros(len(codes) + 1, dtype=np.int8)
+    taken[words.start] = 1
+    taken[words.end] -= 1
+    out[inside] = codes[np.cumsum(taken[:-1], dtype=np.int8).view(bool)]
+    return out.tobytes(), start, end
+
+
+# fixed values: the primes of XXH64
+P1, P2, P3, P4, P5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def turned(x: np.ndarray, bits: int) -> np.ndarray:
+    return x << U64(bits) | x >> U64(64 - bits)
+
+
+def xxh64(data: bytes, start: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of stretches of ``data``, those of one size at a time."""
+    out = np.empty(len(start), dtype=U64)
+    padded = data + bytes(9)
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    fours = np.ndarray((len(data) + 1,), dtype="<u4", buffer=padded, strides=(1,))
+    ones = np.frombuffer(padded, dtype=np.uint8)
+    order = np.argsort(np.minimum(size, LONG_WORD + 1).astype(np.uint16), kind="stable")
+    edges = np.flatnonzero(np.diff(np.minimum(size[order], LONG_WORD + 1), prepend=-1, append=-1))
+    step = lambda held, lane: turned(held + lane * P2, 31) * P1
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        which = order[a:b]
+        at, n = start[which], int(size[which[0]])
+        if n > LONG_WORD:
+            out[which] = [xxhash.xxh64_intdigest(data[x : x + y], seed) for x, y in zip(at.tolist(), size[which].tolist())]
+            continue
+        if n >= 32:
+            held = [np.full(len(at), U64((seed + int(x)) % (1 << 64))) for x in (int(P1) + int(P2), P2, 0, -int(P1))]
+            for _ in range(n // 32):
+                held = [step(x, eights[at + 8 * i]) for i, x in enumerate(held)]
+                at = at + 32
+            h = turned(held[0], 1) + turned(held[1], 7) + turned(held[2], 12) + turned(held[3], 18)
+            for x in held:
+                h = (h ^ step(U64(0), x)) * P1 + P4
+        else:
+            h = np.full(len(at), U64((seed + int(P5)) % (1 << 64)))
+        h = h + U64(n)
+        for _ in range(n % 32 // 8):
+            h = turned(h ^ step(U64(0), eights[at]), 27) * P1 + P4
+            at = at + 8
+        if n % 8 >= 4:
+            h = turned(h ^ fours[at].astype(U64) * P1, 23) * P2 + P3
+            at = at + 4
+        for _ in range(n % 4):
+            h = turned(h ^ ones[at].astype(U64) * P5, 11) * P1
+            at = at + 1
+        h = (h ^ h >> U64(33)) * P2
+        h = (h ^ h >> U64(29)) * P3
+        out[which] = h ^ h >> U64(32)
+    return out
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Slices of the batch of whole rows with about ``limit`` bytes of text each, to bound memory."""
     column_index = batch.schema.get_field_index(column)
