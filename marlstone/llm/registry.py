@@ -107,7 +107,7 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in full windows of 2048, 1024, 512 or 256 ids; one row per piece."""
+    """All documents in full windows of 2048, 1024, 512 or 256 ids, the rest of each task in powers of two; one row per piece."""
     out = packing.pack_tiers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep=["doc_id"])
     return out.select(
         "doc_id",
@@ -124,7 +124,7 @@ def op8_tiered_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64-bit fingerprints of 4-word shingles, linked at 4 or fewer differing bits."""
-    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, lanes=1, radius=4)
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=4, lanes=1, radius=4, keep=["doc_id"])
     return out.select("doc_id", F.lower(F.hex("_print")).alias("fingerprint"), "component_id")
 
 
@@ -136,10 +136,10 @@ def op10_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  SELECT row_number() OVER () AS row_id, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
-r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+s AS (SELECT q.row_id, q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score FROM v q JOIN v c ON q.row_id <> c.row_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
 """
 
