@@ -333,13 +333,13 @@ def test_leaks(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     df = frame(spark, texts, extra=(("_leaks", "a"),))
     for piece in (1 << 20, 30):
-        got = {(r["doc_id"], r["x"]["item_id"]): (r["x"]["doc_start"], r["x"]["length"], r["x"]["matches"]) for r in decontamination.find_leaks(df, bench, keep=["doc_id"], piece_words=piece).select("doc_id", F.explode("_leaks").alias("x")).collect()}
+        got = {(r["doc_id"], r["x"]["item_id"]): (r["x"]["doc_start"], r["x"]["length"], r["x"]["matches"]) for r in decontamination.find_leaks(df, bench, keep=["doc_id"], piece_words=piece, least_words=8).select("doc_id", F.explode("_leaks").alias("x")).collect()}
         want = {(5, 0): (30, 40, 40), (6, 0): (0, 40, 35), (7, 1): (0, 15, 15), (8, 2): (0, 13, 13), (9, 3): (0, 9, 9), (13, 0): (0, 40, 40)}
         if piece == 30:
             want |= {(d, 5): v for (d, i), v in want.items() if i == 0}  # the equal item lies in another piece
         assert {k: v for k, v in got.items() if k != (7, 1)} == {k: v for k, v in want.items() if k != (7, 1)}
         assert got[7, 1][1] >= 13
-    kept = decontamination.decontaminate(df, bench)
+    kept = decontamination.decontaminate(df, bench, least_words=8)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 1, 2, 3, 4, 10, 11, 12]
     assert decontamination.decontaminate(df, bench.limit(0)).count() == len(texts)
 
@@ -373,13 +373,13 @@ def test_every_overlap_is_found():
             assert not found or found[0]["length"] >= least and found[0]["matches"] >= 0.8 * found[0]["length"] - 1e-12
 
 
-def test_short_items_on_request(spark):
+def test_short_items(spark):
     items = ["yes", "so it goes", "a b c d e", "what is it for you now then"]
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     df = frame(spark, ["he said yes", "And so it goes.", "a b x d e", "what is it for them now then", "no"])
     found = lambda **o: sorted((r["doc_id"], [x["item_id"] for x in r["_leaks"]]) for r in decontamination.find_leaks(df, bench, keep=["doc_id"], **o).collect())
-    assert found(least_words=1) == [(0, [0]), (1, [1]), (2, [2]), (3, [3]), (4, [])]
-    assert all(not x for _, x in found())
+    assert found() == [(0, [0]), (1, [1]), (2, [2]), (3, [3]), (4, [])]
+    assert all(not x for _, x in found(least_words=8))
 
 
 # op 1

@@ -54,8 +54,12 @@ def test_cascade_is_exact(spark):
     got = {r[0] for r in keys.where(cascade.contains(F.col("key"))).collect()}
     assert got == {r[0] for r in listed.collect()}
     assert not url_filter.build_cascade(listed.limit(0), keys).levels
-    with pytest.raises(ValueError):
-        url_filter.encode(listed, "key", 1 << 40, 1, 12, 4)
+    assert url_filter.build_cascade(listed, keys, most_bytes=8) is None
+    asked = keys.selectExpr("key AS c0", "concat(key, '') AS key", "1 AS is_listed").unionByName(spark.sql("SELECT 'x' AS c0, CAST(NULL AS STRING) AS key, 2 AS is_listed"))
+    for most in (None, 8):  # beyond the bound the keys are joined, with the same result
+        out = url_filter.mark_listed(asked, F.col("key"), listed.union(listed.limit(3)), most_bytes=most)
+        assert out.columns == ["c0", "key", "is_listed"]
+        assert {r["c0"] for r in out.where("is_listed").collect()} == got and out.count() == 4001
 
 
 # op 6
@@ -87,11 +91,31 @@ def test_neighbours(spark, tmp_path):
     assert ann.nearest(df.where("vec_id = 1020"), F.lit(True)).count() == 0
 
 
+def test_neighbours_with_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=(40, 8))
+    ids = [i // 2 * 20 if i < 10 else i for i in range(40)]
+    vectors[3], vectors[5], vectors[4] = vectors[2], vectors[4], vectors[4] * 2  # rows 2 and 3 are equal in all
+    rows = [(i, v.tolist(), "x") for i, v in zip(ids, vectors)]
+    got = Counter()
+    for name in ("vec_id", "score"):
+        df = spark.createDataFrame(rows, f"{name} long, embedding array<double>, query_id string")
+        out = ann.nearest(df, F.col(name) % 20 == 0, id_col=name, k=5).collect()
+        got = Counter((r["query_id"], r["rank"], r["vec_id" if name == "vec_id" else "id"], r["score"]) for r in out)
+        want = Counter()
+        for q, i in enumerate(ids):
+            if i % 20 == 0:
+                score = ann.exact(vectors, vectors[q])
+                best = [r for r in np.lexsort((np.array(ids), -score)) if r != q][:5]
+                want.update((i, rank, ids[r], score[r]) for rank, r in enumerate(best, 1))
+        assert got == want
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     vectors, queries = rng.normal(size=(400, 64)), rng.normal(size=(50, 64))
     mean, turn = vectors.mean(axis=0), ann.rotation(64, 1)
-    guess, width = ann.Codes(vectors, mean, turn).estimate(queries, mean, turn, 3.0)
+    guess, width = ann.Codes.of(vectors, mean, turn).estimate(queries, mean, turn, 3.0)
     inside = np.abs(guess - queries @ vectors.T) <= width
     assert inside.mean() > 0.99 and abs((guess - queries @ vectors.T).mean()) < 0.2
 
@@ -100,7 +124,7 @@ def test_shipped_bounds_hold():
     rng = np.random.default_rng(4)
     vectors, queries = rng.normal(size=(400, 64)), rng.normal(size=(50, 64))
     mean, turn = vectors.mean(axis=0), ann.rotation(64, 1)
-    guess, width = ann.Codes(vectors, mean, turn).estimate(queries, mean, turn, ann.EPSILON)
+    guess, width = ann.Codes.of(vectors, mean, turn).estimate(queries, mean, turn, ann.EPSILON)
     assert (np.abs(guess - queries @ vectors.T) <= width).mean() > 0.99
 
 
