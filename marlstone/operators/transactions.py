@@ -109,12 +109,18 @@ class Transaction:
     def _read_keys(self, name: str, keys: DataFrame) -> None:
         self.keys_read.setdefault(name, []).append(keys)
 
-    def _write(self, name: str, rows: DataFrame, deleted: bool) -> None:
+    def _write(self, name: str, rows: DataFrame, deleted: bool) -> int:
+        """Buffer rows as versions. They are computed and written once, so later reads and the commit plan no more than a scan. Returns how many there are."""
         table = self.table(name)
+        self._written(name)  # rows that wait come before
         buffer = self.buffers.setdefault(name, Buffer())
-        buffer.writes += 1
-        made = versions(rows.select(*table.names), table.primary_key, buffer.writes, deleted)
-        buffer.rows = made if buffer.rows is None else buffer.rows.unionByName(made)
+        path = self.store.stage(versions(rows.select(*table.names), table.primary_key, buffer.writes + 1, deleted))
+        made = self.store.read_staged(table, path)
+        found = made.count()
+        if found:
+            buffer.writes += 1
+            buffer.rows = made if buffer.rows is None else buffer.rows.unionByName(made)
+        return found
 
     def insert(self, name: str, values: dict) -> int:
         """Insert or overwrite one row; all columns are needed and no others."""
@@ -144,18 +150,10 @@ class Transaction:
         for column in assignments:
             table.column(column)
         hit = self._matching(name, where, key)
-        found = hit.count()
-        if found:
-            new = hit.select(*[assignments.get(c.name, F.col(c.name)).cast(c.type.spark).alias(c.name) for c in table.columns])
-            self._write(name, new, deleted=False)
-        return found
+        return self._write(name, hit.select(*[assignments.get(c.name, F.col(c.name)).cast(c.type.spark).alias(c.name) for c in table.columns]), deleted=False)
 
     def delete(self, name: str, where: Column | None = None, key=None) -> int:
-        hit = self._matching(name, where, key)
-        found = hit.count()
-        if found:
-            self._write(name, hit, deleted=True)
-        return found
+        return self._write(name, self._matching(name, where, key), deleted=True)
 
     def _matching(self, name: str, where: Column | None, key) -> DataFrame:
         rows = self.scan(name) if key is None else self.get(name, key)

@@ -444,7 +444,7 @@ def workload_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("workload_mix", "SELECT * FROM (VALUES ('new_order', 3, 3), ('payment', 5, 5)) t(kind, runs, committed)")
+@query("workload_mix", "SELECT * FROM (VALUES ('new_order', 5, 5), ('payment', 2, 2), ('order_status', 1, 1)) t(kind, runs, committed)")
 def workload_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions drawn by the standard mix from a fixed seed, and how many of each kind committed."""
     store, scale = Store(spark, scratch_folder(spark, "workload")), Scale(1, 2, 3, 4)

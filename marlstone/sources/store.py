@@ -164,6 +164,19 @@ class Store:
             rows.write.parquet(path)
         return path
 
+    def stage(self, rows: DataFrame) -> str:
+        """Write rows that no manifest names yet; returns the folder."""
+        path = f"{self.root}/staged/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        return path
+
+    def read_staged(self, table: TableDef, path: str) -> DataFrame:
+        return self.spark.read.schema(self.log_schema(table)).parquet(path)
+
+    def sweep(self) -> None:
+        """Delete what transactions have staged. To be called while none is open and no lazy result of one is left."""
+        self.folder.fs.delete(self.folder._path(f"{self.root}/staged"), True)
+
     def read_files(self, table: TableDef, paths: list[str], key: str | None = None) -> DataFrame:
         """Versions in some folders; with ``key``, those of the key's shard only."""
         schema = self.log_schema(table)
