@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.predicates import TOLERANCE, Comparison, Predicate
 from marlstone.functions.routing import shard_of
-from marlstone.functions.statistics import exact_percentiles, padded_key, success_rate, throughput
+from marlstone.functions.statistics import exact_percentiles, padded_key, six_decimals, success_rate, throughput, unpadded_key
 from marlstone.operators import select as selects
 from marlstone.operators import workload
 from marlstone.operators.aggregates import Aggregate
@@ -374,6 +374,44 @@ def txn_two_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.unionByName(whole.selectExpr("'rows' AS name", "0L AS key", "value"))
 
 
+@query(
+    "txn_own_writes",
+    f"""SELECT {ROW} FROM (SELECT * REPLACE (CASE WHEN o_orderkey = 3 THEN o_totalprice + 2 ELSE o_totalprice END AS o_totalprice) FROM orders WHERE o_orderkey <> 4
+UNION ALL SELECT -5, 7, 'N', 3.5, TIMESTAMP '1998-02-03 04:05:06', 'x') WHERE o_orderkey < 1000""",
+)
+def txn_own_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an open transaction sees of its own update, delete and insert, in a range and by key."""
+    t = Transaction.begin(order_store(spark, sf_dir, shards=2))
+    for _ in range(2):
+        t.update("orders", {"o_totalprice": F.col("o_totalprice") + 1}, key=3)
+    t.delete("orders", key=4)
+    t.insert("orders", {"o_orderkey": -5, "o_custkey": 7, "o_orderstatus": "N", "o_totalprice": 3.5, "o_orderdate": "1998-02-03 04:05:06", "o_orderpriority": "x"})
+    seen = key_range(t.scan("orders"), "o_orderkey", high=1000)
+    return seen.where("o_orderkey <> 3").unionByName(t.get("orders", 3)).unionByName(t.get("orders", 4))
+
+
+@query("store_after_crash", f"SELECT {ROW} FROM orders")
+def store_after_crash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of a writer that died before its manifest are not there for a reader that opens the store anew."""
+    store = order_store(spark, sf_dir)
+    lost = versions(table(spark, sf_dir, "orders").withColumn("o_totalprice", F.lit(0.0)), "o_orderkey", 99)
+    store.write_files(store.manifest().catalog.get("orders"), lost)
+    return Store(spark, store.root).read("orders")
+
+
+@query("store_compacted", "SELECT * REPLACE (CASE WHEN o_orderkey < 20 THEN 'C' ELSE o_orderstatus END AS o_orderstatus) FROM orders WHERE o_orderkey <> 30")
+def store_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose versions were merged into one folder and then folded into its base."""
+    store = order_store(spark, sf_dir)
+    for change in (lambda t: t.update("orders", {"o_orderstatus": F.lit("C")}, F.col("o_orderkey") < 20), lambda t: t.delete("orders", key=30)):
+        t = Transaction.begin(store)
+        change(t)
+        t.commit()
+    store.merge_deltas("orders", most=1)
+    store.compact("orders")
+    return Store(spark, store.root).read("orders")
+
+
 @query("session_create", "SELECT * FROM (VALUES (1, 'it''s', 2.5::DOUBLE, 10000000000::BIGINT), (2, 'b', -0.5::DOUBLE, 7::BIGINT)) t(id, name, price, big)")
 def session_create(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table declared and filled by text; one made inside a transaction goes with its rollback."""
@@ -465,6 +503,10 @@ def shard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.groupBy("shard").agg(F.count(F.lit(1)).alias("keys"))
 
 
+query("parse_pk", "SELECT o_orderkey, CAST(lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS BIGINT) AS key FROM orders")(
+    lambda s, d: table(s, d, "orders").select("o_orderkey", unpadded_key(padded_key(F.col("o_orderkey"))).alias("key"))
+)
+query("value_text", "SELECT o_orderkey, printf('%.6f', o_totalprice) AS text FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", six_decimals(F.col("o_totalprice")).alias("text")))
 query("format_pk", "SELECT o_orderkey, lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS pk FROM orders")(lambda s, d: table(s, d, "orders").select("o_orderkey", padded_key(F.col("o_orderkey")).alias("pk")))
 
 
