@@ -52,17 +52,17 @@ class Model:
     rate: float
 
 
-def token_features(words: Words) -> np.ndarray:
-    """Weight numbers: the word, its first letters, and the words before and after."""
+def token_features(words: Words, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+    """Weight numbers of the tokens ``at`` (all): the word, its first letters, and the words before and after."""
     names = words.hashes()
     around = np.zeros((2, len(names)), dtype=np.uint64)
     if len(names) > 1:
         around[0, 1:], around[1, :-1] = names[:-1], names[1:]
         inner = words.first[(words.first > 0) & (words.first < len(names))]
         around[0, inner], around[1, inner - 1] = 0, 0
-    out = np.empty((len(PREFIXES) + 3, len(names)), dtype=np.int32)
+    out = np.empty((len(PREFIXES) + 3, len(names[at])), dtype=np.int32)
     for i, kind in enumerate(chain([mix(names)], (prefix_hashes(words, n) for n in PREFIXES), (mix(around[i] + U64(11 + i)) for i in range(2)))):
-        out[i] = (kind >> U64(20)) % U64(BUCKETS)
+        out[i] = (kind[at] >> U64(20)) % U64(BUCKETS)
     return out
 
 
@@ -115,20 +115,20 @@ def toxic_tokens(words: Words, toxic: np.ndarray, counted: np.ndarray) -> np.nda
     A mark is found in toxic documents at odds that are surely above MARK_ODDS: by
     MARK_DEVIATIONS standard deviations of their logarithm.
     """
-    text = np.repeat(np.arange(len(toxic)), np.diff(words.first))
+    text = np.repeat(np.arange(len(toxic), dtype=np.int32), np.diff(words.first))
+    use = np.flatnonzero(counted[text])
     odds_of = lambda p, n: np.log((p + 0.5) / (toxic[counted].sum() + 1)) - np.log((n + 0.5) / ((~toxic[counted]).sum() + 1))
-    out = np.zeros(len(text), dtype=np.int64)
-    for kind in [words.hashes()] + [prefix_hashes(words, n) for n in PREFIXES[1:]]:
-        use = counted[text]
-        _, number = np.unique(kind, return_inverse=True)
-        once = np.unique(number[use].astype(np.int64) * len(toxic) + text[use])
+    out = np.zeros(len(text), dtype=np.int8)
+    for size in (None, *PREFIXES[1:]):
+        kind = words.hashes() if size is None else prefix_hashes(words, size)
+        known = np.unique(kind[use])
+        once = np.unique(np.searchsorted(known, kind[use]) * len(toxic) + text[use])
         of, where = once // len(toxic), once % len(toxic)
-        size = number.max() + 1
-        hits = np.bincount(of, weights=toxic[where], minlength=size)
-        misses = np.bincount(of, minlength=size) - hits
+        hits = np.bincount(of, weights=toxic[where], minlength=len(known))
+        misses = np.bincount(of, minlength=len(known)) - hits
         spread = np.sqrt(1 / (hits + 0.5) + 1 / (misses + 0.5))
-        marks = odds_of(hits, misses) - MARK_DEVIATIONS * spread > np.log(MARK_ODDS)
-        out |= marks[number] & toxic[text]
+        marks = known[odds_of(hits, misses) - MARK_DEVIATIONS * spread > np.log(MARK_ODDS)]
+        out |= toxic[text] & np.isin(kind, marks)
     return out
 
 
@@ -153,7 +153,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rate: float, seed: int = 5) -> Mod
     first = first_tokens(words)
     place = np.arange(len(first)) - np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
     begins = np.flatnonzero(place % SEGMENT == 0)
-    hits = np.add.reduceat(labels, begins)
+    hits = np.add.reduceat(labels, begins, dtype=np.int64)
     rng = np.random.default_rng(seed)
     marked, rest = np.flatnonzero(hits > 0), np.flatnonzero(hits == 0)
     chosen = np.sort(np.concatenate([marked, rng.permutation(rest)[: max(2000, len(marked))]]))
@@ -161,7 +161,7 @@ def train(texts: pa.Array, toxic: np.ndarray, rate: float, seed: int = 5) -> Mod
     at = np.concatenate([np.arange(begins[i], ends[i]) for i in chosen])
     starts = np.zeros(len(first), dtype=bool)
     starts[begins[chosen]] = True
-    weights, links = crf.fit(token_features(words)[:, at], labels[at], starts[at], BUCKETS)
+    weights, links = crf.fit(token_features(words, at), labels[at], starts[at], BUCKETS)
     weights = weights.astype(np.float32)
     found = []
     for part in pieces(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 20):

@@ -7,7 +7,7 @@ equal words everywhere, and computed eight bytes at a time.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,8 @@ SPACE_OR_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 #: Masks that keep the first 0 to 8 bytes of a little-endian lane.
 KEEP = np.array([(1 << (8 * i)) - 1 for i in range(9)], dtype=U64)
 M1, M2, M3 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
+#: Words that are hashed at once.
+PART = 1 << 18
 #: Longer words are hashed one by one; they are rare, and a lane loop over them would be long.
 LONG_WORD = 256
 
@@ -57,7 +59,17 @@ class Words:
     text_start: np.ndarray
 
     def hashes(self) -> np.ndarray:
-        return word_hashes(self.data, self.start, self.end)
+        return by_part(lambda a, b: word_hashes(self.data, self.start[a:b], self.end[a:b]), len(self.start))
+
+
+def by_part(make: Callable[[int, int], np.ndarray], n: int) -> np.ndarray:
+    """What ``make`` makes of words ``a`` to ``b``, for all ``n``, some at a time."""
+    if n <= PART:
+        return make(0, n)
+    out = np.empty(n, dtype=U64)
+    for a in range(0, n, PART):
+        out[a : a + PART] = make(a, min(n, a + PART))
+    return out
 
 
 def text_bytes(texts: pa.Array) -> tuple[bytes, np.ndarray]:
@@ -118,7 +130,7 @@ def word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 def prefix_hashes(words: Words, size: int) -> np.ndarray:
     """A hash of the first ``size`` bytes (8 at most) of each word; shorter words hash as they are."""
     lanes = np.ndarray((len(words.data) + 1,), dtype="<u8", buffer=words.data + bytes(9), strides=(1,))
-    return mix((lanes[words.start] & KEEP[np.minimum(words.end - words.start, size)]) + U64(size))
+    return by_part(lambda a, b: mix((lanes[words.start[a:b]] & KEEP[np.minimum(words.end[a:b] - words.start[a:b], size)]) + U64(size)), len(words.start))
 
 
 #: Bytes of text that numpy works on at once: what is made for so many words stays in a core's cache.
