@@ -188,8 +188,9 @@ def repeats(df: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame
     found = settle(texts.where("_id is not null").mapInArrow(find, f"_id {id_type}, _hash long, _start int, _windows int, _key long, _whole long"), "segments")
     # a key seen in one document only repeats nothing; no more than key and id is dealt to find out
     repeated = found.groupBy("_key").agg(F.min("_id").alias("_first"), F.max("_id").alias("_last")).where("_first < _last").select(F.col("_key").alias("_of"))
+    repeated = settle(repeated, "repeated")  # so that the join deals both sides itself and a key of very many segments can be split
     shared = settle(found.join(repeated, found["_key"] == repeated["_of"]).drop("_of"), "shared")
-    discard(found)
+    discard(found, repeated)
     alike = shared.groupBy("_key", "_whole").agg(F.min("_id").alias("_least"))
     kinds = alike.groupBy("_key").agg((F.count(F.lit(1)) > 1).alias("_open")).withColumnRenamed("_key", "_of")
     least = settle(alike.join(kinds, alike["_key"] == kinds["_of"]).drop("_of"), "alike")
