@@ -294,7 +294,7 @@ def near_duplicates(
     distinct = settle(rows.groupBy("_print", "_ones").agg(F.min(F.col(f"`{id_col}`")).alias("_least")), "distinct-prints")
     roots = components(links(distinct.select("_print", "_ones"), lanes, radius, screen))
     linked = settle(distinct.join(roots, distinct["_print"] == roots["node"]).select("_print", "_least", "root"), "linked-prints")
-    smallest = linked.groupBy("root").agg(F.min("_least").alias("_of_root"))
+    smallest = settle(linked.groupBy("root").agg(F.min("_least").alias("_of_root")), "smallest")  # so that a large component can be split
     known = linked.join(smallest, "root").select(F.col("_print").alias("_linked"), "_of_root", "root")
     named = settle(
         distinct.join(known, distinct["_print"] == known["_linked"], "left").select(
@@ -302,7 +302,7 @@ def near_duplicates(
         ),
         "named-prints",
     )
-    discard(distinct, linked)
+    discard(distinct, linked, smallest)
     return rows.join(named, rows["_print"] == named["_named"]).drop("_named", "_ones", "_root")
 
 
@@ -351,6 +351,7 @@ def verified(df: DataFrame, id_col: str, text_col: str, hash_col: str, candidate
     one task; a row goes to fewer than ``PARTS_OF_GROUP`` tasks until parts reach ``MOST_OF_PART`` shingles.
     """
     totals = candidates.groupBy("_group").agg(F.sum(F.col("_size") + 1).alias("_total"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    totals = settle(totals, "groups")  # so that a large group can be split
     parts = F.ceil(F.col("_total") / F.least(F.lit(MOST_OF_PART), F.greatest(F.lit(LEAST_OF_PART), F.col("_total") / PARTS_OF_GROUP))).cast("long")
     members = candidates.join(totals, "_group").select("_set", "_group", parts.alias("_parts"), F.col("_best.i").alias("_i"), F.col("_best.h").alias("_h"))
     rows = df.select(F.col(id_col), F.col(hash_col), F.col(text_col).alias("_text"))
