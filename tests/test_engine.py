@@ -11,7 +11,7 @@ from marlstone.functions.statistics import exact_percentiles, padded_key, six_de
 from marlstone.operators import workload
 from marlstone.operators.aggregates import Aggregate
 from marlstone.operators.history import check_bank, check_history, check_registers
-from marlstone.operators.joins import inner_join
+from marlstone.operators.joins import broadcast_bound, estimated_bytes, hashed_bytes, inner_join
 from marlstone.operators.select import Join, Select, run
 from marlstone.operators.transactions import Conflict, Transaction
 from marlstone.plans.grammar import Control, Delete, Insert, Shift, SqlError, Update, parse, split_statements
@@ -126,6 +126,34 @@ def test_join_strategies(spark, strategy, node):
     assert node in plan(df)
 
 
+def test_broadcast_of_small_files_with_large_rows(spark, tmp_path):
+    """Files of a few MB whose rows would fill the driver are dealt by key, or the other side is sent."""
+    spark.range(0, 1_000_000, 1, 4).selectExpr("id AS x", "repeat('x', 600) AS u").write.parquet(str(tmp_path / "a"))
+    spark.range(0, 100_000, 1, 4).selectExpr("id AS y", "sha2(cast(id AS string), 512) AS v").write.parquet(str(tmp_path / "b"))
+    a, b = spark.read.parquet(str(tmp_path / "a")), spark.read.parquet(str(tmp_path / "b"))
+    bound = broadcast_bound(spark)
+    assert estimated_bytes(a) < min(estimated_bytes(b), bound) and hashed_bytes(b) < bound < hashed_bytes(a)
+    both = inner_join(a, a.withColumnsRenamed({"x": "z", "u": "w"}), "x", "z", "broadcast")
+    assert "BroadcastHashJoin" not in plan(both) and "SortMergeJoin" in plan(both)
+    assert both.count() == 1_000_000
+    for df, build in ((inner_join(a, b, "x", "y", "broadcast"), "BuildRight"), (inner_join(b, a, "y", "x", "broadcast"), "BuildLeft")):
+        assert "BroadcastHashJoin" in plan(df) and build in plan(df)
+        assert df.count() == 100_000
+    few = inner_join(spark.createDataFrame([(7, "p"), (-1, "q")], "y long, v string"), a, "y", "x", "broadcast")
+    assert "BuildLeft" in plan(few) and [r["v"] for r in few.collect()] == ["p"]
+
+
+@pytest.mark.parametrize(
+    "column,least",
+    [("id", 16), ("CAST(NULL AS STRING)", 16), ("repeat('é', 500)", 1016), ("CAST(repeat('x', 500) AS BINARY)", 516), ("CAST(id AS DECIMAL(38, 2))", 32), ("array_repeat(id, 200)", 1600), ("array_repeat('', 200)", 1600), ("array_repeat(map(), 200)", 6400), ("array_repeat(struct('' AS a, '' AS b), 200)", 6400)],
+)
+def test_hashed_bytes(spark, column, least):
+    df = spark.range(50).selectExpr("id AS `a.b`", f"{column} AS `c``d`")
+    assert hashed_bytes(df) >= 50 * (least + 8)
+    assert hashed_bytes(df.selectExpr("*", "`a.b`")) > hashed_bytes(df)
+    assert hashed_bytes(df.where("false")) == 0
+
+
 def test_join_names(spark):
     t = {"a": spark.createDataFrame([(1, 10)], "id int, v int"), "b": spark.createDataFrame([(1, 20)], "id int, v int")}
     assert run(Select("a", join=Join("b", "b.id", "a.id")), t).columns == ["a.id", "a.v", "b.id", "b.v"]
